@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fedlens.common import asset_form, plain, table, to_nanos
 from fedlens.operators import hierarchy as tree
-from fedlens.operators import intervals, orphans, receipts
+from fedlens.operators import drift, intervals, orphans, receipts
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,6 +31,27 @@ def p2_periods(spark: SparkSession, d: str) -> DataFrame:
     return intervals.periods(*_span_times(spark, d)).withColumnRenamed("entity", "trace_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(table(spark, d, "raw_records")).select("file_name", "change_kind", "field_name", "new_name")
+
+
+def p3_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The fields and types of every file."""
+    return drift.fields(drift.values(drift.lines(table(spark, d, "raw_records")))).select("file_name", F.col("field").alias("field_name"), F.col("type").alias("field_type"))
+
+
+def p3_spans(spark: SparkSession, d: str) -> DataFrame:
+    return drift.unified(table(spark, d, "raw_records"), "span")
+
+
+def p3_materializations(spark: SparkSession, d: str) -> DataFrame:
+    return drift.unified(table(spark, d, "raw_records"), "materialization")
+
+
+def p3_manifests(spark: SparkSession, d: str) -> DataFrame:
+    return drift.unified(table(spark, d, "raw_records"), "manifest")
+
+
 def _span_links(spark: SparkSession, d: str):
     parent = plain(F.col("parent_span_id"))
     return table(spark, d, "spans").select("trace_id", "span_id", "parent_span_id"), plain(F.col("trace_id")), plain(F.col("span_id")), F.when(~parent.rlike("^0+$"), parent)
@@ -76,7 +97,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(refs, orphans.orphans(refs, targets), ["ref_table", "ref_field"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_missing_numbers, p2_found, p2_periods, p5_found, p5_paths, p5_descendants, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_missing_numbers, p2_found, p2_periods, p3_found, p3_fields, p3_spans, p3_materializations, p3_manifests, p5_found, p5_paths, p5_descendants, p7_found, p7_report)}
 
 _IDENT = """ids AS (SELECT regexp_replace(lower(trim(sender)), '^0x', '') AS k, sequence AS s, CASE WHEN ts >= 100000000000 THEN ts // 1000 ELSE ts END AS t, arrival FROM messages
  WHERE sender IS NOT NULL AND trim(sender) <> '' AND ts IS NOT NULL AND sequence IS NOT NULL)"""
@@ -100,6 +121,11 @@ ORACLE = {
     "p1_missing_numbers": f"WITH {_IDENT}, u AS (SELECT DISTINCT k, s FROM ids), g AS (SELECT k, s, lead(s) OVER (PARTITION BY k ORDER BY s) AS nx FROM u) SELECT k AS sender, s + 1 AS missing_from, nx - 1 AS missing_to FROM g WHERE nx > s + 1",
     "p2_found": f"WITH {_EDGES} SELECT e AS trace_id, r AS gap_start, s AS gap_end FROM reach WHERE s > r",
     "p2_periods": f"WITH {_EDGES}, runs AS (SELECT e, s, f, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (PARTITION BY e ORDER BY s, f ROWS UNBOUNDED PRECEDING) AS run FROM reach) SELECT e AS trace_id, min(s) AS period_start, max(f) AS period_end FROM runs GROUP BY e, run",
+    "p3_fields": """WITH ok AS (SELECT file_name, CAST(body AS JSON) AS j FROM raw_records WHERE body <> '' AND json_valid(body) AND json_type(body) = 'OBJECT'),
+ k AS (SELECT file_name, j, unnest(json_keys(j)) AS f FROM ok), t AS (SELECT DISTINCT file_name, f, json_type(j, '$."' || f || '"') AS ty FROM k),
+ m AS (SELECT file_name, f, CASE ty WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'HUGEINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' END AS ty FROM t WHERE ty <> 'NULL'),
+ s AS (SELECT file_name, f, list_sort(list(DISTINCT ty)) AS l FROM m GROUP BY 1, 2)
+ SELECT file_name, f AS field_name, CASE WHEN len(l) = 1 THEN l[1] WHEN l = ['integer', 'number'] THEN 'number' ELSE 'string' END AS field_type FROM s""",
     "p5_found": f"WITH RECURSIVE {_LINKS}, up(e, v, a) AS (SELECT e, v, p FROM l WHERE p IS NOT NULL UNION SELECT up.e, up.v, l.p FROM up JOIN l ON l.e = up.e AND l.v = up.a WHERE l.p IS NOT NULL), looped AS (SELECT e, v FROM up WHERE v = a) SELECT up.e AS trace_id, up.v AS span_id, min(up.a) AS cycle_span_id FROM up JOIN looped ON looped.e = up.e AND looped.v = up.a GROUP BY 1, 2",
     "p5_paths": f"""WITH RECURSIVE {_LINKS}, down(e, v, root, depth, path) AS (SELECT e, v, v, 0, v FROM l WHERE p IS NULL UNION ALL SELECT l.e, l.v, d.root, d.depth + 1, d.path || '/' || l.v FROM down d JOIN l ON l.e = d.e AND l.p = d.v),
  up(e, v, a) AS (SELECT l.e, l.v, l.p FROM l LEFT JOIN down ON down.e = l.e AND down.v = l.v WHERE down.v IS NULL UNION SELECT up.e, up.v, l.p FROM up JOIN l ON l.e = up.e AND l.v = up.a), looped AS (SELECT e, v FROM up WHERE v = a)
