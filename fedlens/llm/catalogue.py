@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedlens.common import table
-from fedlens.llm import neighbours
+from fedlens.common import NANOS_PER_DAY, staged, table
+from fedlens.llm import languages, neighbours, percentiles
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,9 +28,55 @@ def p4_recall(spark: SparkSession, d: str) -> DataFrame:
     return true.join(got, ["query", "other"], "left").agg(F.count(F.lit(1)).alias("true_pairs"), F.count("hit").alias("found_pairs"), F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("recall"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours, p4_recall)}
+def _metric_sketches(spark: SparkSession, d: str) -> DataFrame:
+    keys = {"name": F.col("name"), "unit": F.col("unit"), "day": F.floor(F.col("ts_unix_nanos") / F.lit(NANOS_PER_DAY)).cast("int")}
+    return percentiles.sketches(table(spark, d, "metrics"), F.col("value"), keys)
+
+
+SHARES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Per name, unit and day, and over all days (day null), which are the days' sketches joined."""
+    built = staged(_metric_sketches(spark, d), "percentiles")
+    daily = percentiles.percentiles(built, ["name", "unit", "day"], SHARES)
+    whole = percentiles.percentiles(built, ["name", "unit"], SHARES).withColumn("day", F.lit(None).cast("int"))
+    both = daily.withColumn("period", F.lit("day")).unionByName(whole.withColumn("period", F.lit("all")))
+    return both.withColumn("day", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")).cast("string"))
+
+
+def p6_bounds_hold(spark: SparkSession, d: str) -> DataFrame:
+    """For each name, unit and day, whether the true ranks of the three percentiles lie within the reported bound."""
+    built = percentiles.percentiles(_metric_sketches(spark, d), ["name", "unit", "day"], SHARES)
+    m = table(spark, d, "metrics").select(F.col("name").alias("m_name"), F.col("unit").alias("m_unit"), F.floor(F.col("ts_unix_nanos") / F.lit(NANOS_PER_DAY)).cast("int").alias("m_day"), "value").filter("value is not null and not isnan(value) and abs(value) < double('infinity')")
+    joined = m.join(built, m.m_name.eqNullSafe(built.name) & m.m_unit.eqNullSafe(built.unit) & m.m_day.eqNullSafe(built.day))
+    below = joined.groupBy("name", "unit", "day", "n", "max_rank_error", *SHARES).agg(*[F.sum((F.col("value") < F.col(p)).cast("long")).alias(f"lt_{p}") for p in SHARES], *[F.sum((F.col("value") <= F.col(p)).cast("long")).alias(f"le_{p}") for p in SHARES], F.count(F.lit(1)).alias("rows"))
+    holds = [(F.col(f"lt_{p}") < F.ceil(q * F.col("n")) + F.col("max_rank_error")) & (F.col(f"le_{p}") >= F.ceil(q * F.col("n")) - F.col("max_rank_error")) for p, q in SHARES.items()]
+    return below.select("name", "unit", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")).cast("string").alias("day"), "n", (holds[0] & holds[1] & holds[2] & (F.col("rows") == F.col("n"))).alias("holds"))
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return languages.segments(table(spark, d, "documents"), table(spark, d, "languages"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.mislabelled(_parts(spark, d)).select(F.col("id").alias("doc_id"), "seg_no", "lang")
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _parts(spark, d).select(F.col("id").alias("doc_id"), "seg_no", "parts", "lang", F.round("confidence", 6).alias("confidence"), "sentences", "first_sentence", "characters")
+
+
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The main language of each text, that of most characters, with what its label said."""
+    best = _parts(spark, d).groupBy("id", "label").agg(F.max_by("lang", "characters").alias("lang"), F.max_by("confidence", "characters").alias("confidence"), F.count(F.lit(1)).alias("parts"))
+    return best.select(F.col("id").alias("doc_id"), F.col("label").alias("label_lang"), "lang", F.round("confidence", 6).alias("confidence"), "parts")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours, p4_recall, p6_percentiles, p6_bounds_hold, p10_found, p10_segments, p10_documents)}
 
 ORACLE = {
+    "p6_bounds_hold": "SELECT name, unit, CAST(DATE '1970-01-01' + CAST(ts_unix_nanos // 86400000000000 AS INTEGER) AS VARCHAR) AS day, count(*) AS n, true AS holds FROM metrics WHERE isfinite(value) GROUP BY 1, 2, 3",
     "p4_found": """WITH v AS (SELECT update_id AS i, any_value(CAST(gradients AS DOUBLE[])) AS g FROM updates WHERE len(gradients) = 64 AND len(list_filter(gradients, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(gradients, lambda x: x <> 0)) > 0 GROUP BY 1),
  w AS (SELECT i, list_transform(g, lambda x: x / sqrt(list_inner_product(g, g))) AS g FROM v),
  c AS (SELECT a.i AS q, b.i AS o, list_inner_product(a.g, b.g) AS s FROM w AS a JOIN w AS b ON a.i <> b.i),
