@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fedlens.common import NANOS_PER_DAY, staged, table
-from fedlens.llm import languages, neighbours, percentiles
+from fedlens.llm import languages, mixing, neighbours, packing, percentiles, tokens
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -55,6 +57,51 @@ def p6_bounds_hold(spark: SparkSession, d: str) -> DataFrame:
     return below.select("name", "unit", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")).cast("string").alias("day"), "n", (holds[0] & holds[1] & holds[2] & (F.col("rows") == F.col("n"))).alias("holds"))
 
 
+def _packed(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, packing.Plan]]:
+    sizes = staged(tokens.token_counts(table(spark, d, "documents")), "tokens")
+    kinds = table(spark, d, "containers").select("container_kind", "capacity_tokens").collect()  # a row per kind
+    return [(r["container_kind"], *packing.pack(sizes, r["capacity_tokens"])) for r in sorted(kinds)]
+
+
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, or part of one longer than the container, in its container of each kind."""
+    parts = [p.select(F.lit(kind).alias("container_kind"), F.col("container").alias("container_no"), F.col("id").alias("doc_id"), F.col("part").alias("part_no"), F.col("length").alias("tokens")) for kind, p, _ in _packed(spark, d)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind: containers, the fewest possible by size, their fill, and the fullest."""
+    parts = []
+    for kind, p, made in _packed(spark, d):
+        each = p.groupBy("container").agg(F.sum("length").alias("used"))
+        parts.append(each.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("most")).select(F.lit(kind).alias("container_kind"), F.lit(made.capacity).alias("capacity_tokens"), "containers", F.ceil(F.col("tokens") / made.capacity).alias("fewest"), "tokens", "most", F.round(F.col("tokens") / (F.col("containers") * made.capacity), 6).alias("fill")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _mixed(spark: SparkSession, d: str, whole: bool = False):
+    docs = table(spark, d, "documents")
+    sizes = staged(tokens.token_counts(docs, extra={"source": docs["source"]}), "tokens")
+    listed = table(spark, d, "mix_targets").withColumn("source", mixing.source_form(F.col("source")))
+    targets = {r["source"]: (r["target_share"], r["max_repeats"]) for r in listed.collect()}  # a row per source
+    total = float(sizes.agg(F.sum("tokens")).first()[0] or 0) if whole else None
+    return targets, mixing.mix(sizes, targets, total)
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix in which every source has its share."""
+    _, (mixed, _, _) = _mixed(spark, d)
+    return mixed.select(F.col("id").alias("doc_id"), "source", "copy", "tokens")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares wanted and reached: in that mix, and in one as large as all texts together, where caps may bind."""
+    parts = []
+    for name, whole in (("exact shares", False), ("size of the input", True)):
+        targets, (mixed, rate, sizes) = _mixed(spark, d, whole)
+        parts.append(mixing.shares(mixed, targets, rate, sizes).withColumn("mix", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _parts(spark: SparkSession, d: str) -> DataFrame:
     return languages.segments(table(spark, d, "documents"), table(spark, d, "languages"))
 
@@ -73,7 +120,7 @@ def p10_documents(spark: SparkSession, d: str) -> DataFrame:
     return best.select(F.col("id").alias("doc_id"), F.col("label").alias("label_lang"), "lang", F.round("confidence", 6).alias("confidence"), "parts")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours, p4_recall, p6_percentiles, p6_bounds_hold, p10_found, p10_segments, p10_documents)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours, p4_recall, p6_percentiles, p6_bounds_hold, p8_packing, p8_fill, p9_mix, p9_shares, p10_found, p10_segments, p10_documents)}
 
 ORACLE = {
     "p6_bounds_hold": "SELECT name, unit, CAST(DATE '1970-01-01' + CAST(ts_unix_nanos // 86400000000000 AS INTEGER) AS VARCHAR) AS day, count(*) AS n, true AS holds FROM metrics WHERE isfinite(value) GROUP BY 1, 2, 3",
