@@ -30,9 +30,17 @@ def p4_recall(spark: SparkSession, d: str) -> DataFrame:
     return true.join(got, ["query", "other"], "left").agg(F.count(F.lit(1)).alias("true_pairs"), F.count("hit").alias("found_pairs"), F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("recall"))
 
 
+FINITE = "value is not null and not isnan(value) and abs(value) < double('infinity')"
+
+
+def _measurements(spark: SparkSession, d: str) -> DataFrame:
+    """Finite values with name, unit and day; rows repeated but for ingested_at are one measurement."""
+    rows = table(spark, d, "metrics").filter(FINITE).select("ts_unix_nanos", "trace_id", "span_id", "name", "unit", "value").distinct()
+    return rows.select("name", "unit", F.floor(F.col("ts_unix_nanos") / F.lit(NANOS_PER_DAY)).cast("int").alias("day"), "value")
+
+
 def _metric_sketches(spark: SparkSession, d: str) -> DataFrame:
-    keys = {"name": F.col("name"), "unit": F.col("unit"), "day": F.floor(F.col("ts_unix_nanos") / F.lit(NANOS_PER_DAY)).cast("int")}
-    return percentiles.sketches(table(spark, d, "metrics"), F.col("value"), keys)
+    return percentiles.sketches(_measurements(spark, d), F.col("value"), {k: F.col(k) for k in ("name", "unit", "day")})
 
 
 SHARES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
@@ -50,7 +58,7 @@ def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
 def p6_bounds_hold(spark: SparkSession, d: str) -> DataFrame:
     """For each name, unit and day, whether the true ranks of the three percentiles lie within the reported bound."""
     built = percentiles.percentiles(_metric_sketches(spark, d), ["name", "unit", "day"], SHARES)
-    m = table(spark, d, "metrics").select(F.col("name").alias("m_name"), F.col("unit").alias("m_unit"), F.floor(F.col("ts_unix_nanos") / F.lit(NANOS_PER_DAY)).cast("int").alias("m_day"), "value").filter("value is not null and not isnan(value) and abs(value) < double('infinity')")
+    m = _measurements(spark, d).toDF("m_name", "m_unit", "m_day", "value")
     joined = m.join(built, m.m_name.eqNullSafe(built.name) & m.m_unit.eqNullSafe(built.unit) & m.m_day.eqNullSafe(built.day))
     below = joined.groupBy("name", "unit", "day", "n", "max_rank_error", *SHARES).agg(*[F.sum((F.col("value") < F.col(p)).cast("long")).alias(f"lt_{p}") for p in SHARES], *[F.sum((F.col("value") <= F.col(p)).cast("long")).alias(f"le_{p}") for p in SHARES], F.count(F.lit(1)).alias("rows"))
     holds = [(F.col(f"lt_{p}") < F.ceil(q * F.col("n")) + F.col("max_rank_error")) & (F.col(f"le_{p}") >= F.ceil(q * F.col("n")) - F.col("max_rank_error")) for p, q in SHARES.items()]
@@ -123,7 +131,7 @@ def p10_documents(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours, p4_recall, p6_percentiles, p6_bounds_hold, p8_packing, p8_fill, p9_mix, p9_shares, p10_found, p10_segments, p10_documents)}
 
 ORACLE = {
-    "p6_bounds_hold": "SELECT name, unit, CAST(DATE '1970-01-01' + CAST(ts_unix_nanos // 86400000000000 AS INTEGER) AS VARCHAR) AS day, count(*) AS n, true AS holds FROM metrics WHERE isfinite(value) GROUP BY 1, 2, 3",
+    "p6_bounds_hold": "SELECT name, unit, CAST(DATE '1970-01-01' + CAST(ts_unix_nanos // 86400000000000 AS INTEGER) AS VARCHAR) AS day, count(*) AS n, true AS holds FROM (SELECT DISTINCT ts_unix_nanos, trace_id, span_id, name, unit, value FROM metrics WHERE isfinite(value)) GROUP BY 1, 2, 3",
     "p4_found": """WITH v AS (SELECT update_id AS i, any_value(CAST(gradients AS DOUBLE[])) AS g FROM updates WHERE len(gradients) = 64 AND len(list_filter(gradients, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(gradients, lambda x: x <> 0)) > 0 GROUP BY 1),
  w AS (SELECT i, list_transform(g, lambda x: x / sqrt(list_inner_product(g, g))) AS g FROM v),
  c AS (SELECT a.i AS q, b.i AS o, list_inner_product(a.g, b.g) AS s FROM w AS a JOIN w AS b ON a.i <> b.i),
