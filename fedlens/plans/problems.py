@@ -37,7 +37,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_fields(spark: SparkSession, d: str) -> DataFrame:
     """The fields and types of every file."""
-    return drift.fields(drift.values(drift.lines(table(spark, d, "raw_records")))).select("file_name", F.col("field").alias("field_name"), F.col("type").alias("field_type"))
+    return drift.fields(drift.summarised(drift.lines(table(spark, d, "raw_records")))).select("file_name", F.col("field").alias("field_name"), F.col("type").alias("field_type"))
 
 
 def p3_spans(spark: SparkSession, d: str) -> DataFrame:
