@@ -62,7 +62,8 @@ def asset_form(key: Column) -> Column:
 
 def sender_form(key: Column) -> Column:
     """`plain` without a leading 0x."""
-    return F.nullif(F.regexp_replace(plain(key), "^0x", ""), F.lit(""))
+    bare = F.lower(F.btrim(key, F.lit(BLANKS)))
+    return F.nullif(F.when(bare.startswith("0x"), F.substring(bare, 3, 2**31 - 1)).otherwise(bare), F.lit(""))
 
 
 def whole_seconds(ts: Column) -> Column:

@@ -19,17 +19,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fedlens.common import sender_form, whole_seconds
+from fedlens.common import BLANKS, sender_form, whole_seconds
 
 BLOCK = 1 << 16
 
 
 @dataclass
 class Seen:
-    """What earlier batches left: `ranges` (sender, block, lo, hi) and `receipts` (sender, block, number, second, kept)."""
+    """What earlier batches left: `ranges` (sender, block, lo, hi) and `receipts` (sender, number, second, kept)."""
 
     ranges: DataFrame
     receipts: DataFrame
@@ -46,12 +46,25 @@ class Received:
         return batch.join(gone, batch[order] == gone["__rx_gone"], "left_anti").dropDuplicates([order])
 
 
+OTHER = "0" * 66
+
+
+def packed(sender: Column) -> Column:
+    """A sender key as bytes: 64 hex digits are 32 bytes; any other key has 33 zero bytes in front, so that no two keys meet."""
+    bare = F.btrim(sender, F.lit(BLANKS))
+    digits = F.when(F.substring(bare, 1, 2).isin("0x", "0X"), F.substring(bare, 3, 2**31 - 1)).otherwise(bare)
+    return F.coalesce(F.when(F.octet_length(digits) == 64, F.unhex(digits)), F.concat(F.unhex(F.lit(OTHER)), F.encode(sender_form(sender), "UTF-8")))
+
+
+def unpacked(key: Column) -> Column:
+    return F.when(F.octet_length(key) == 32, F.lower(F.hex(key))).otherwise(F.decode(F.substring(key, 34, 2**31 - 1), "UTF-8"))
+
+
 def identified(batch: DataFrame, sender: str, sequence: str, ts: str, order: str) -> DataFrame:
-    """(sender, block, number, second, at) of the rows that have an identifier."""
+    """(sender, number, second, at) of the rows that have an identifier; senders as bytes."""
     c = lambda n: batch[f"`{n}`"]
-    rows = batch.select(sender_form(c(sender)).alias("sender"), c(sequence).cast("long").alias("number"), whole_seconds(c(ts)).alias("second"), c(order).cast("long").alias("at"))
-    rows = rows.dropna(subset=["sender", "number", "second", "at"])
-    return rows.withColumn("block", F.floor(F.col("number") / BLOCK))
+    rows = batch.select(packed(c(sender)).alias("sender"), c(sequence).cast("long").alias("number"), whole_seconds(c(ts)).alias("second"), c(order).cast("long").alias("at"))
+    return rows.dropna(subset=["sender", "number", "second", "at"])
 
 
 def merged_ranges(numbers: DataFrame) -> DataFrame:
@@ -68,7 +81,7 @@ def joined_ranges(ranges: DataFrame) -> DataFrame:
     w = Window.partitionBy("sender").orderBy("lo")
     opens = F.when(F.col("lo") > F.lag("hi").over(w) + 1, 1).otherwise(0)
     runs = ranges.withColumn("opens", opens).withColumn("run", F.sum("opens").over(w))
-    return runs.groupBy("sender", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
+    return runs.groupBy("sender", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select(unpacked(F.col("sender")).alias("sender"), "lo", "hi")
 
 
 def receive(batch: DataFrame, seen: Seen | None = None, sender: str = "sender", sequence: str = "sequence", ts: str = "ts", order: str = "arrival") -> Received:
@@ -76,12 +89,13 @@ def receive(batch: DataFrame, seen: Seen | None = None, sender: str = "sender",
 
     `seen` comes from the batches before; receipts named there are kept, so every copy in `batch` is surplus.
     """
-    key = ["sender", "block", "number"]
+    key = ["sender", "number"]
+    block = F.floor(F.col("number") / BLOCK)
     rows = identified(batch, sender, sequence, ts, order)
     fresh, earlier = rows, None
     if seen is not None:
         spans = seen.ranges.select(F.col("sender").alias("r_sender"), F.col("block").alias("r_block"), "lo", "hi")
-        inside = (F.col("sender") == F.col("r_sender")) & (F.col("block") == F.col("r_block")) & F.col("number").between(F.col("lo"), F.col("hi"))
+        inside = (F.col("sender") == F.col("r_sender")) & (block == F.col("r_block")) & F.col("number").between(F.col("lo"), F.col("hi"))
         covered = rows.join(spans, inside, "left_semi")
         fresh = rows.join(spans, inside, "left_anti")
         known = covered.join(seen.receipts, [*key, "second"], "left")
@@ -89,18 +103,18 @@ def receive(batch: DataFrame, seen: Seen | None = None, sender: str = "sender",
         fresh = fresh.unionByName(known.filter("kept is null").drop("kept"))
     numbers = fresh.groupBy(*key).agg(F.min("at").alias("first"), F.min_by("second", "at").alias("first_second"), F.count(F.lit(1)).alias("n"))
     again = fresh.join(numbers.filter("n > 1").drop("n"), key).filter("at > first")
-    plain = again.filter("second = first_second").select("sender", "block", "number", "second", "at", F.col("first").alias("kept"))
-    odd = again.filter("second <> first_second").select("sender", "block", "number", "second", "at")
+    plain = again.filter("second = first_second").select(*key, "second", "at", F.col("first").alias("kept"))
+    odd = again.filter("second <> first_second").select(*key, "second", "at")
     lookup = odd.groupBy(*key, "second").agg(F.min("at").alias("kept"))
     exact = odd.join(lookup, [*key, "second"]).filter("at > kept")
     surplus = plain.unionByName(exact)
     if earlier is not None:
         surplus = surplus.unionByName(earlier)
     kept = numbers.select(*key, F.col("first_second").alias("second"), F.col("first").alias("kept")).unionByName(lookup)
-    ranges = numbers.select("sender", "block", F.col("number").alias("lo"), F.col("number").alias("hi"))
+    ranges = numbers.select("sender", block.alias("block"), F.col("number").alias("lo"), F.col("number").alias("hi"))
     if seen is not None:
         kept, ranges = seen.receipts.unionByName(kept), seen.ranges.unionByName(ranges)
-    found = surplus.select("kept", F.col("at").alias("surplus"), "sender", "number", "second")
+    found = surplus.select("kept", F.col("at").alias("surplus"), unpacked(F.col("sender")).alias("sender"), "number", "second")
     return Received(found, Seen(merged_ranges(ranges), kept))
 
 
