@@ -10,15 +10,17 @@ from fedlens.common import staged
 def closure(edges: DataFrame, source: str, target: str, most_rounds: int = 64) -> DataFrame:
     """(source, target) for every pair joined by a way of one edge or more; loops are allowed.
 
-    Ways double in length each round and only new pairs go on, so a depth of d takes log2(d) + 1 rounds. Every
-    round's pairs are written to the shared folder. Edges with a null end do not count. The result may be far
-    larger than the input: it has a row per pair.
+    After round k the pairs known are those less than 2^(k+1) edges apart: a pair further apart is a way of
+    exactly 2^k edges followed by a known one, so a pair is found through few middles only and a depth of d
+    takes log2(d) rounds. Every round's pairs are written to the shared folder. Edges with a null end do not
+    count. The result may be far larger than the input: it has a row per pair.
     """
     base = edges.select(edges[source].alias("source"), edges[target].alias("target")).dropna().distinct()
-    known = staged(base, "closure-0")
+    known = leap = staged(base, "closure-0")
+    after = lambda first, then: first.select("source", first["target"].alias("via")).join(then.select(then["source"].alias("via"), "target"), "via").select("source", "target")
     for k in range(1, most_rounds + 1):
-        longer = known.select("source", known["target"].alias("via")).join(known.select(known["source"].alias("via"), "target"), "via").select("source", "target").distinct()
-        fresh = staged(longer.join(known, ["source", "target"], "left_anti"), f"closure-{k}")
+        leap = staged(after(leap, leap).distinct(), f"closure-leap-{k}")
+        fresh = staged(leap.unionByName(after(leap, known)).distinct().join(known, ["source", "target"], "left_anti"), f"closure-{k}")
         if fresh.isEmpty():
             return known
         known = known.unionByName(fresh)
