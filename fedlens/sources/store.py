@@ -120,7 +120,9 @@ class Bundle:
         b.write("datasets/lineage.json", {"schema_version": 1, "edges": []})
         for name in LOGS:
             b._fs.mkdirs(b._path(f"{b.root}/{name}"))
-            b._fs.create(b._path(f"{b.root}/{name}/part-empty.json"), True).close()
+            out = b._fs.create(b._path(f"{b.root}/{name}/part-empty.json"), True)
+            out.write(10)  # a blank line: files of no length are not listed
+            out.close()
         b.finalize()
         return b
 
