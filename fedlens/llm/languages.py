@@ -30,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, SAMPLE_CHARS = 20_000, 20_000
+from fedlens.llm.sampling import bounded_sample
+
+SAMPLE, SAMPLE_CHARS = 20_000, 4_000
 TOKENIZERS = "/opt/tokenizers"
 SWITCH, FLOOR, KEPT_WORDS, SPACE = 4.0, 1e-7, 200_000, "▁"
 SENTENCE = re.compile(r"(?<=[.!?…。！？])[\"'»”)\]]*\s+|\s*[\n\r|]+\s*")
@@ -188,7 +190,7 @@ def fit(docs: DataFrame, forms: dict[str, str], id_col: str, text_col: str, labe
     codes = sorted(set(forms.values()))
     c = lambda n: docs[f"`{n}`"]
     rows = docs.select(c(id_col).alias("i"), c(text_col).alias("t"), c(label_col).alias("l")).filter(F.col("t").isNotNull() & F.col("l").isNotNull() & (F.length("t") <= SAMPLE_CHARS))
-    taken = rows.orderBy(F.xxhash64("i"), "i").limit(sample).collect()
+    taken = bounded_sample(rows, docs.count(), "i", sample).collect()
     texts = [(r["t"], codes.index(code)) for r in taken if (code := labelled(r["l"], forms))]
     return train(texts, len(codes), vocabulary(tokenizers)), codes
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from fedlens.common import staged
 from fedlens.llm import additive
+from fedlens.llm.sampling import bounded_sample
 
 SAMPLE, STAGES, ENTRIES, BEAM = 20_000, 16, 256, 4
 PROBES, CAP, SHORT = 8, 8192, 32
@@ -78,18 +79,19 @@ def classes(rows: DataFrame, dim: int) -> DataFrame:
 
 
 def fit(rows: DataFrame, dim: int, sample: int = SAMPLE, stages: int = STAGES) -> additive.Codebooks | None:
-    taken = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    total = rows.count()
+    taken = bounded_sample(rows, total, "id", sample).toArrow()
     if not taken.num_rows:
         return None
     unit, _ = _units(_flat(taken.column("g").combine_chunks(), dim))
     if not len(unit):
         return None
-    cells = 1 << max(0, round(math.log2(max(1.0, math.sqrt(rows.count())))))
+    cells = 1 << max(0, round(math.log2(max(1.0, math.sqrt(total)))))
     return additive.train(unit.astype(np.float32), min(cells, 4096), stages, ENTRIES)
 
 
 def index(reps: DataFrame, codebooks: additive.Codebooks, dim: int, probes: int) -> DataFrame:
-    """(rep, v, cell, probes, codes, norm) of every representative."""
+    """(rep, v, cls, last, cell, probes, codes, norm) of every representative."""
     shared = reps.sparkSession.sparkContext.broadcast((codebooks.cells, codebooks.books))  # its size is fixed by the parameters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,9 +103,9 @@ def index(reps: DataFrame, codebooks: additive.Codebooks, dim: int, probes: int)
                 codes = additive.encode(v, books, BEAM)
                 norm = np.linalg.norm(additive.decode(codes, books), axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)), pa.array(near.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("v"), pa.array(near[:, 0]), lists, _binary(codes), pa.array(norm.astype(np.float32))], ["rep", "v", "cell", "probes", "codes", "norm"])
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("rep", "v", "cls", "last")], pa.array(near[:, 0]), lists, _binary(codes), pa.array(norm.astype(np.float32))], ["rep", "v", "cls", "last", "cell", "probes", "codes", "norm"])
 
-    return reps.mapInArrow(run, "rep long, v binary, cell int, probes array<int>, codes binary, norm float")
+    return reps.mapInArrow(run, "rep long, v binary, cls binary, last long, cell int, probes array<int>, codes binary, norm float")
 
 
 def scan(slots: DataFrame, books: np.ndarray | None, dim: int, k: int, short: int, least: float) -> DataFrame:
@@ -196,23 +198,24 @@ def similar(df: DataFrame, id_col: str = "id", vec_col: str = "vec", dim: int =
         return spark.createDataFrame([], "query long, other long, cosine double")
     named = classes(rows, dim)
     reps = named.groupBy("cls").agg(F.min_by("v", "id").alias("v"), F.min("id").alias("rep"), F.max("id").alias("last"))
-    kept = staged(index(reps.select("rep", "v"), codebooks, dim, probes), "neighbours-index")
+    kept = staged(index(reps.select("rep", "v", "cls", "last"), codebooks, dim, probes), "neighbours-index")
     if queries is None:
         near = probed(kept, codebooks.books, dim, k, least, cap, short or SHORT)
     else:
         near = exhaustive(kept, kept.filter(queries), None if exact else codebooks.books, dim, k, short or EXHAUSTIVE_SHORT)
     near = best(near, k)
-    return with_members(near, reps.filter("last > rep").select("cls", "rep"), named.select("cls", "id"), k, queries).filter(F.col("cosine") >= least)
+    shared = kept.filter("last > rep").select("cls", "rep")
+    members = staged(named.select("cls", "id").join(shared, "cls").select("rep", "id").distinct(), "neighbours-members")
+    return with_members(near, members, k, queries).filter(F.col("cosine") >= least)
 
 
-def with_members(near: DataFrame, shared: DataFrame, ids: DataFrame, k: int, queries: str | None) -> DataFrame:
-    """Put the members of classes back: (query, other, cosine) over ids from pairs of representatives.
+def with_members(near: DataFrame, members: DataFrame, k: int, queries: str | None) -> DataFrame:
+    """Put the members (rep, id) of classes back: (query, other, cosine) over ids from pairs of representatives.
 
     A member of a class has the others of its class first. Only the k+1 smallest ids of a class can be
     anyone's neighbours, and a class of more than k members needs no other class.
     """
     w = Window.partitionBy("rep").orderBy("id")
-    members = ids.join(shared, "cls").select("rep", "id").distinct()
     heads = members.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k + 1)
     outside = near.join(heads.select(F.col("rep").alias("other"), F.col("id").alias("member")), "other", "left").select("query", F.coalesce("member", "other").alias("other"), "cosine")
     outside = outside.join(heads.groupBy("rep").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("rep", "query"), "query", "left").withColumn("room", F.lit(k + 1) - F.coalesce("size", F.lit(1)))

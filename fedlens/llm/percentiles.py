@@ -49,6 +49,8 @@ class Sketch:
     def _put(self, values: np.ndarray) -> None:
         self.loose.append(values)
         self.held += len(values)
+        if len(self.loose) > 64:
+            self.loose = [np.concatenate(self.loose)]
         if self.held >= self.size:
             every = np.concatenate(self.loose)
             full = len(every) // self.size * self.size
