@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 MAX_DIM, KRUM_PEERS = 10_000_000, 50
 MAX_VALUE, MAX_NORM = 10.0, 100.0
 TRIM, TRIM_MOST = 0.2, 0.49
+HOT = 1_000_000  # vectors of a round above which its coordinates are spread over several tasks
 
 
 def long_form(df: DataFrame, round_col: str, sender: str, vec: str) -> DataFrame:
@@ -44,8 +45,45 @@ def weighted_average(df: DataFrame, round_col: str, sender: str, vec: str, weigh
     return rows.groupBy("round", "i").agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("value"))
 
 
-def coordinate_median(df: DataFrame, round_col: str, sender: str, vec: str) -> DataFrame:
-    return long_form(df, round_col, sender, vec).groupBy("round", "i").agg(F.median("value").alias("value"))
+def coordinate_median(df: DataFrame, round_col: str, sender: str, vec: str, hot: int = HOT) -> DataFrame:
+    """Median of each coordinate, the mean of the two middle values if even."""
+    busy = busy_rounds(df, round_col, hot)
+    small, large = split_rounds(df, busy, round_col)
+    out = long_form(small, round_col, sender, vec).groupBy("round", "i").agg(F.median("value").alias("value"))
+    return out if large is None else out.unionByName(middle_mean(long_form(large, round_col, sender, vec), lambda n: F.floor((n - 1) / 2), hot))
+
+
+def busy_rounds(df: DataFrame, round_col: str, hot: int) -> DataFrame | None:
+    """Rounds of more than `hot` vectors, if there are any."""
+    busy = df.groupBy(F.col(round_col).alias("__busy")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("__busy")
+    return None if busy.isEmpty() else busy
+
+
+def split_rounds(df: DataFrame, busy: DataFrame | None, round_col: str) -> tuple[DataFrame, DataFrame | None]:
+    if busy is None:
+        return df, None
+    return df.join(busy, df[round_col] == busy["__busy"], "left_anti"), df.join(busy, df[round_col] == busy["__busy"], "left_semi")
+
+
+def middle_mean(long: DataFrame, cut_of: Callable[[Column], Column], hot: int) -> DataFrame:
+    """Exact mean of each coordinate without its `cut_of(n)` smallest and largest values, for rounds of any size.
+
+    Equal values are counted together in the map tasks; a coordinate's values are spread over buckets between
+    its approximate quantiles, so that no task sorts one whole coordinate. Counts before a bucket and counts
+    within it give every value its ranks, and it enters the mean as often as those lie in the middle.
+    """
+    most = long.groupBy("round", "i").agg(F.count(F.lit(1)).alias("n"))
+    parts = max(2, min(1000, -(-4 * int(most.agg(F.max("n")).first()[0] or 0) // hot)))
+    bounds = long.groupBy("round", "i").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("value", [k / parts for k in range(1, parts)], 10 * parts).alias("bounds"))
+    bucket = F.size(F.filter("bounds", lambda b: b < F.col("value")))
+    counted = long.groupBy("round", "i", "value").agg(F.count(F.lit(1)).alias("times")).join(bounds, ["round", "i"]).select("round", "i", "n", bucket.alias("bucket"), "value", "times")
+    over = Window.partitionBy("round", "i").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = counted.groupBy("round", "i", "bucket").agg(F.sum("times").alias("all")).select("round", "i", "bucket", F.coalesce(F.sum("all").over(over), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("round", "i", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("reach", F.sum("times").over(inside)).join(before, ["round", "i", "bucket"])
+    end, cut = F.col("before") + F.col("reach"), cut_of(F.col("n"))
+    used = F.greatest(F.lit(0), F.least(end, F.col("n") - cut) - F.greatest(end - F.col("times"), cut))
+    return ranked.select("round", "i", "value", used.alias("used")).filter("used > 0").groupBy("round", "i").agg((F.sum(F.col("value").cast("double") * F.col("used")) / F.sum("used")).alias("value"))
 
 
 def trim_count(n: Column, ratio: float) -> Column:
@@ -53,12 +91,14 @@ def trim_count(n: Column, ratio: float) -> Column:
     return F.floor(n.cast("float") * F.lit(ratio).cast("float")).cast("long")
 
 
-def trimmed_mean(df: DataFrame, round_col: str, sender: str, vec: str, ratio: float = TRIM) -> DataFrame:
+def trimmed_mean(df: DataFrame, round_col: str, sender: str, vec: str, ratio: float = TRIM, hot: int = HOT) -> DataFrame:
     """Mean without the `trim_count` smallest and largest values of each coordinate; ties count singly."""
+    small, large = split_rounds(df, busy_rounds(df, round_col, hot), round_col)
     w = Window.partitionBy("round", "i")
-    ranked = long_form(df, round_col, sender, vec).select("round", "i", "value", F.row_number().over(w.orderBy("value", "sender")).alias("rn"), F.count(F.lit(1)).over(w).alias("n"))
+    ranked = long_form(small, round_col, sender, vec).select("round", "i", "value", F.row_number().over(w.orderBy("value", "sender")).alias("rn"), F.count(F.lit(1)).over(w).alias("n"))
     cut = trim_count(F.col("n"), ratio)
-    return ranked.filter((F.col("rn") > cut) & (F.col("rn") <= F.col("n") - cut)).groupBy("round", "i").agg(F.avg("value").alias("value"))
+    out = ranked.filter((F.col("rn") > cut) & (F.col("rn") <= F.col("n") - cut)).groupBy("round", "i").agg(F.avg("value").alias("value"))
+    return out if large is None else out.unionByName(middle_mean(long_form(large, round_col, sender, vec), lambda n: trim_count(n, ratio), hot))
 
 
 def krum(df: DataFrame, round_col: str, sender: str, vec: str, faulty: int = 1, selected: int = 1, max_peers: int = KRUM_PEERS) -> DataFrame:

@@ -26,6 +26,20 @@ def test_mean_median_and_trimmed_mean(spark):
     assert column(V.trimmed_mean(frame(spark, [1.0], [2.0]), *ARGS, ratio=0.6)) == [1.5]  # the ratio is cut to 0.49
 
 
+@pytest.mark.parametrize("hot", [5, 40])
+def test_rounds_of_any_size_give_the_same(spark, hot):
+    import random
+
+    rng = random.Random(hot)
+    rows = [(r, i, [rng.choice([0.5, -2.0, rng.gauss(0, 1), 1e6]) for _ in range(3)]) for r, n in ((1, 60), (2, 31), (3, 4)) for i in range(n)]
+    rows[0][2][1] = float("nan")
+    df = spark.createDataFrame(rows, SCHEMA)
+    for f, k in ((V.trimmed_mean, {"ratio": 0.2}), (V.trimmed_mean, {"ratio": 0.0}), (V.coordinate_median, {})):
+        one, many = ({(r["round"], r["i"]): r["value"] for r in f(df, *ARGS, **k, hot=h).collect()} for h in (V.HOT, hot))
+        assert one.keys() == many.keys() and len(one) == 9
+        assert all(many[x] == pytest.approx(one[x], nan_ok=True) for x in one)
+
+
 def test_counts_follow_float_arithmetic(spark):
     n = spark.range(1)
     assert n.select(V.trim_count(F.lit(100), 0.29), V.kept_count(F.lit(10), 0.1)).first()[:] == (29, 1)
