@@ -38,7 +38,8 @@ class Seen:
 @dataclass
 class Received:
     surplus: DataFrame  #: kept, surplus, sender, number, second
-    seen: Seen
+    seen: Seen  #: what this and all earlier batches saw
+    kept: DataFrame  #: the receipts this batch adds to it
 
     def accepted(self, batch: DataFrame, order: str = "arrival") -> DataFrame:
         """`batch` without its surplus receipts."""
@@ -112,10 +113,11 @@ def receive(batch: DataFrame, seen: Seen | None = None, sender: str = "sender",
         surplus = surplus.unionByName(earlier)
     kept = numbers.select(*key, F.col("first_second").alias("second"), F.col("first").alias("kept")).unionByName(lookup)
     ranges = numbers.select("sender", block.alias("block"), F.col("number").alias("lo"), F.col("number").alias("hi"))
+    every = kept
     if seen is not None:
-        kept, ranges = seen.receipts.unionByName(kept), seen.ranges.unionByName(ranges)
+        every, ranges = seen.receipts.unionByName(kept), seen.ranges.unionByName(ranges)
     found = surplus.select("kept", F.col("at").alias("surplus"), unpacked(F.col("sender")).alias("sender"), "number", "second")
-    return Received(found, Seen(merged_ranges(ranges), kept))
+    return Received(found, Seen(merged_ranges(ranges), every), kept)
 
 
 def missing_numbers(ranges: DataFrame) -> DataFrame:

@@ -78,17 +78,18 @@ def counts_per_window(stream: DataFrame, length: str = "1 minute", slide: str |
 def exactly_once_sink(stream: DataFrame, folder: str, checkpoint: str):
     """Start a query that writes surplus-free batches below `folder`, keeping the seen ranges and receipts there.
 
-    A batch writes its rows and state under its own number, so a batch run again replaces what it wrote.
+    A batch writes its rows, the ranges so far and its own receipts under its number, so a batch run again
+    replaces what it wrote, and receipts of earlier batches are read but never written again.
     """
     spark = stream.sparkSession
 
     def batch(df: DataFrame, number: int) -> None:
         seen = None
         if number > 0:
-            seen = Seen(spark.read.parquet(f"{folder}/ranges/{number - 1}"), spark.read.parquet(f"{folder}/receipts/{number - 1}"))
+            seen = Seen(spark.read.parquet(f"{folder}/ranges/{number - 1}"), spark.read.parquet(f"{folder}/receipts").filter(F.col("batch") < number).drop("batch"))
         got = receive(df, seen)
         got.accepted(df).write.mode("overwrite").parquet(f"{folder}/accepted/batch={number}")
         got.seen.ranges.write.mode("overwrite").parquet(f"{folder}/ranges/{number}")
-        got.seen.receipts.write.mode("overwrite").parquet(f"{folder}/receipts/{number}")
+        got.kept.write.mode("overwrite").parquet(f"{folder}/receipts/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
