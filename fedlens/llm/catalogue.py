@@ -27,7 +27,7 @@ def p4_recall(spark: SparkSession, d: str) -> DataFrame:
     u = table(spark, d, "updates")
     got = neighbours.similar(u, "update_id", "gradients", queries="rep % 100 = 0").select("query", "other", F.lit(1).alias("hit"))
     true = neighbours.similar(u, "update_id", "gradients", queries="rep % 100 = 0", exact=True)
-    return true.join(got, ["query", "other"], "left").agg(F.count(F.lit(1)).alias("true_pairs"), F.count("hit").alias("found_pairs"), F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("recall"))
+    return true.join(got, ["query", "other"], "left").agg(F.count(F.lit(1)).alias("true_pairs"), F.count("hit").alias("found_pairs"), F.round(F.try_divide(F.count("hit"), F.count(F.lit(1))), 4).alias("recall"))
 
 
 FINITE = "value is not null and not isnan(value) and abs(value) < double('infinity')"
@@ -67,14 +67,14 @@ def p6_bounds_hold(spark: SparkSession, d: str) -> DataFrame:
 
 def _packed(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, packing.Plan]]:
     sizes = staged(tokens.token_counts(table(spark, d, "documents")), "tokens")
-    kinds = table(spark, d, "containers").select("container_kind", "capacity_tokens").collect()  # a row per kind
+    kinds = table(spark, d, "containers").filter("capacity_tokens > 0").select("container_kind", "capacity_tokens").collect()  # a row per kind
     return [(r["container_kind"], *packing.pack(sizes, r["capacity_tokens"])) for r in sorted(kinds)]
 
 
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:
     """Every text, or part of one longer than the container, in its container of each kind."""
     parts = [p.select(F.lit(kind).alias("container_kind"), F.col("container").alias("container_no"), F.col("id").alias("doc_id"), F.col("part").alias("part_no"), F.col("length").alias("tokens")) for kind, p, _ in _packed(spark, d)]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "container_kind string, container_no long, doc_id long, part_no long, tokens int"))
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -82,8 +82,8 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for kind, p, made in _packed(spark, d):
         each = p.groupBy("container").agg(F.sum("length").alias("used"))
-        parts.append(each.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("most")).select(F.lit(kind).alias("container_kind"), F.lit(made.capacity).alias("capacity_tokens"), "containers", F.ceil(F.col("tokens") / made.capacity).alias("fewest"), "tokens", "most", F.round(F.col("tokens") / (F.col("containers") * made.capacity), 6).alias("fill")))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(each.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("most")).select(F.lit(kind).alias("container_kind"), F.lit(made.capacity).alias("capacity_tokens"), "containers", F.ceil(F.col("tokens") / made.capacity).alias("fewest"), "tokens", "most", F.round(F.try_divide(F.col("tokens"), F.col("containers") * made.capacity), 6).alias("fill")))
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "container_kind string, capacity_tokens int, containers long, fewest long, tokens long, most int, fill double"))
 
 
 def _mixed(spark: SparkSession, d: str, whole: bool = False):

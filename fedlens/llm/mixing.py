@@ -84,4 +84,4 @@ def shares(mixed: DataFrame, targets: dict[str, tuple[float, int]], rate: dict[s
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("mix_tokens"), F.count(F.lit(1)).alias("mix_rows"), F.max("copy").alias("most_copies"))
     every = mixed.agg(F.sum("tokens").alias("all_tokens"))
     out = wanted.join(got, "source", "left").join(F.broadcast(every))  # one row
-    return out.select("source", "target_share", "max_repeats", "rate", "source_tokens", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("mix_tokens", "mix_rows", "most_copies")], F.coalesce(F.col("mix_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"))
+    return out.select("source", "target_share", "max_repeats", "rate", "source_tokens", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("mix_tokens", "mix_rows", "most_copies")], F.coalesce(F.try_divide("mix_tokens", "all_tokens"), F.lit(0.0)).alias("actual_share"))
