@@ -2,13 +2,14 @@
 
 Codebooks are trained on at most `SAMPLE` rows (those of smallest id hash; a documented bound). Every vector
 is then encoded by beam search as a sum of full-dimensional codebook entries, with the norm of that sum
-stored, and put on the list of its nearest coarse direction. A query reads the lists of its `PROBES` nearest
-directions: it scores their codes by adding lookup-table entries, and the `SHORT` best are reranked by exact
-cosine. The number of lists grows as the square root of the rows.
-
-Scale: one shuffle for the index, one for the queries' probes. Lists longer than `CAP` rows are cut into
-blocks, each block being a group of its own, so no task holds more than `CAP` index rows; queries stream
-past them. Vectors of the same direction (to 5 decimals) are one class with one representative in the
+stored, and put on the list of its nearest coarse direction. The number of lists grows as the square root of
+the rows, and a query reads the lists of its nearest directions, `SHARE` of all but at least `PROBES`: a fixed
+number of lists finds ever less of the true neighbours as lists grow. It scores their codes by adding
+lookup-table entries, and the best, `SHORT` or more of each slot, are reranked by exact cosine.
+
+Scale: one shuffle for the index, one for the queries' probes. Lists are laid into slots of up to `CAP` rows,
+longer ones cut over several, so no task holds more than `CAP` index rows; queries stream past them, one row
+per query and slot. Reading a share of the lists is work in proportion to the square of the rows. Vectors of the same direction (to 5 decimals) are one class with one representative in the
 index, so a group of copies costs one entry; its members are put back at the end, at most k+1 per class.
 
 Defined results: vectors that are null, of another length, zero or with a null, NaN or infinite value take
@@ -31,7 +32,7 @@ from fedlens.llm import additive
 from fedlens.llm.sampling import bounded_sample
 
 SAMPLE, STAGES, ENTRIES, BEAM = 20_000, 16, 256, 4
-PROBES, CAP, SHORT = 8, 8192, 32
+PROBES, SHARE, CAP, SHORT = 8, 0.5, 8192, 32
 EXHAUSTIVE_BLOCK, EXHAUSTIVE_SHORT = 50_000, 400
 PART = pa.schema([("query", pa.int64()), ("other", pa.int64()), ("cosine", pa.float64())])
 
@@ -90,8 +91,13 @@ def fit(rows: DataFrame, dim: int, sample: int = SAMPLE, stages: int = STAGES) -
     return additive.train(unit.astype(np.float32), min(cells, 4096), stages, ENTRIES)
 
 
-def index(reps: DataFrame, codebooks: additive.Codebooks, dim: int, probes: int) -> DataFrame:
-    """(rep, v, cls, last, cell, probes, codes, norm) of every representative."""
+def widened(lists: int) -> int:
+    """How many of the lists a query reads."""
+    return max(PROBES, math.ceil(SHARE * lists))
+
+
+def index(reps: DataFrame, codebooks: additive.Codebooks, dim: int) -> DataFrame:
+    """(rep, v, cls, last, cell, codes, norm) of every representative."""
     shared = reps.sparkSession.sparkContext.broadcast((codebooks.cells, codebooks.books))  # its size is fixed by the parameters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,31 +105,47 @@ def index(reps: DataFrame, codebooks: additive.Codebooks, dim: int, probes: int)
         for b in batches:
             if b.num_rows:
                 v = _vectors(b.column("v"), dim)
-                near = np.argsort(-(v @ cells.T), axis=1)[:, : min(probes, len(cells))].astype(np.int32)
+                near = (v @ cells.T).argmax(1).astype(np.int32)
                 codes = additive.encode(v, books, BEAM)
                 norm = np.linalg.norm(additive.decode(codes, books), axis=1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)), pa.array(near.ravel()))
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("rep", "v", "cls", "last")], pa.array(near[:, 0]), lists, _binary(codes), pa.array(norm.astype(np.float32))], ["rep", "v", "cls", "last", "cell", "probes", "codes", "norm"])
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("rep", "v", "cls", "last")], pa.array(near), _binary(codes), pa.array(norm.astype(np.float32))], ["rep", "v", "cls", "last", "cell", "codes", "norm"])
 
-    return reps.mapInArrow(run, "rep long, v binary, cls binary, last long, cell int, probes array<int>, codes binary, norm float")
+    return reps.mapInArrow(run, "rep long, v binary, cls binary, last long, cell int, codes binary, norm float")
 
 
 def scan(slots: DataFrame, books: np.ndarray | None, dim: int, k: int, short: int, least: float) -> DataFrame:
     """(query, other, cosine): within each slot, the k best rows of at least `least` for each query; without `books` by exact cosine alone.
 
-    `slots` has (slot, kind, rep, v, codes, norm), kind 0 for index rows and 1 for queries.
+    `slots` has (slot, kind, rep, v, cell, codes, norm, lists), kind 0 for index rows and 1 for queries; a query reads
+    the rows of its `lists`, or all of the slot where that is null.
     """
     shared = slots.sparkSession.sparkContext.broadcast(books)
 
-    def answer(names: np.ndarray, v: np.ndarray, codes: np.ndarray, norms: np.ndarray, q_names: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rated(part: np.ndarray, v: np.ndarray, cell: np.ndarray, codes: np.ndarray, norms: np.ndarray, lists: pa.Array) -> np.ndarray:
+        if shared.value is None:
+            return part @ v.T
+        lut = additive.tables(part, shared.value)
+        if lists.null_count == len(lists):
+            return additive.score(lut, codes, norms)
+        here, starts = np.unique(cell, return_index=True)  # rows are in the order of their lists
+        reads = np.zeros((len(part), len(here)), dtype=bool)
+        reads[np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy()), np.searchsorted(here, lists.flatten().to_numpy())] = True
+        rough = np.full((len(part), len(v)), -9, dtype=np.float32)
+        for i, (lo, hi) in enumerate(zip(starts, [*starts[1:], len(cell)], strict=True)):
+            who = np.flatnonzero(reads[:, i])
+            if len(who):
+                rough[who, lo:hi] = additive.score(lut[who], codes[lo:hi], norms[lo:hi])
+        return rough
+
+    def answer(names: np.ndarray, v: np.ndarray, cell: np.ndarray, codes: np.ndarray, norms: np.ndarray, q_names: np.ndarray, q: np.ndarray, lists: pa.Array) -> Iterator[pa.RecordBatch]:
         width = max(1, min(256, 2_000_000 // max(1, len(v))))
         for i in range(0, len(q), width):
             own, part = q_names[i : i + width], q[i : i + width]
-            rough = additive.score(additive.tables(part, shared.value), codes, norms) if shared.value is not None else part @ v.T
+            rough = rated(part, v, cell, codes, norms, lists.slice(i, len(own)))
             rough[own[:, None] == names[None, :]] = -9
             picked = additive.shortlist(rough, short)
             exact = np.einsum("qd,qrd->qr", part, v[picked])
-            exact[names[picked] == own[:, None]] = -9
+            exact[np.take_along_axis(rough, picked, 1) == -9] = -9
             order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
             cos = np.take_along_axis(exact, order, 1)
             good = cos >= max(least, -2)
@@ -146,39 +168,77 @@ def scan(slots: DataFrame, books: np.ndarray | None, dim: int, k: int, short: in
                 if kind[lo] == 0:
                     width = 0 if shared.value is None else len(shared.value)
                     codes = _vectors(part.column("codes"), width, np.uint8) if width else np.zeros((len(v), 0), np.uint8)
-                    held.append((names, v, codes, part.column("norm").to_numpy(zero_copy_only=False)))
+                    held.append((names, v, part.column("cell").to_numpy(), codes, part.column("norm").to_numpy(zero_copy_only=False)))
                 elif held or ready:
-                    ready = ready or tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                    yield from answer(*ready, names, v)
+                    if not ready:
+                        ready = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                        order = np.argsort(ready[2], kind="stable")
+                        ready = tuple(x[order] for x in ready)
+                    yield from answer(*ready, names, v, part.column("lists"))
 
     return slots.mapInArrow(run, "query long, other long, cosine double")
 
 
-def _side(df: DataFrame, kind: int) -> DataFrame:
-    index_only = kind == 0
-    return df.select("slot", F.lit(kind).alias("kind"), "rep", "v", (F.col("codes") if index_only else F.lit(None).cast("binary")).alias("codes"), (F.col("norm") if index_only else F.lit(None).cast("float")).alias("norm"))
+def _scanned(index_rows: DataFrame, query_rows: DataFrame, slots: int, *args) -> DataFrame:
+    """`slots`: how many there are, numbered from 0; each is a partition of its own."""
+    held = index_rows.select("slot", F.lit(0).alias("kind"), "rep", "v", "cell", "codes", "norm", F.lit(None).cast("array<int>").alias("lists"))
+    asks = query_rows.select("slot", F.lit(1).alias("kind"), "rep", "v", F.lit(None).cast("int").alias("cell"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"), "lists")
+    return scan(held.unionByName(asks).repartitionById(slots, F.col("slot").cast("int")).sortWithinPartitions("slot", "kind"), *args)
 
 
-def _scanned(index_rows: DataFrame, query_rows: DataFrame, *args) -> DataFrame:
-    both = _side(index_rows, 0).unionByName(_side(query_rows, 1))
-    return scan(both.repartition("slot").sortWithinPartitions("slot", "kind"), *args)
+def laid_out(sizes: dict[int, int], lists: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """First slot of each list and how many it has: neighbouring lists share one of up to `cap` rows, a longer list has several, an empty one none."""
+    first, blocks, slots, room = np.zeros(lists, dtype=np.int64), np.zeros(lists, dtype=np.int64), 0, 0
+    for cell, n in sorted(sizes.items()):
+        if n > room:
+            blocks[cell], first[cell] = -(-n // cap), slots
+            slots, room = slots + int(blocks[cell]), cap - n if n <= cap else 0
+        else:
+            blocks[cell], first[cell], room = 1, slots - 1, room - n
+    return first, blocks
 
 
-def probed(indexed: DataFrame, books: np.ndarray, dim: int, k: int, least: float, cap: int = CAP, short: int = SHORT) -> DataFrame:
-    """Every representative against the lists it probes."""
-    sizes = indexed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(cap)).cast("int").alias("blocks"))  # a row per list
-    parts = F.broadcast(sizes)
-    rows = indexed.join(parts, "cell").withColumn("slot", F.col("cell").cast("long") * 1_000_000 + F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    asks = indexed.select("rep", "v", F.explode("probes").alias("cell")).join(parts, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", "v", (F.col("cell").cast("long") * 1_000_000 + F.col("block")).alias("slot"))
-    return _scanned(rows, asks.withColumns({"codes": F.lit(None).cast("binary"), "norm": F.lit(None).cast("float")}), books, dim, k, short, least)
+def asks(asked: DataFrame, cells: np.ndarray, first: np.ndarray, blocks: np.ndarray, dim: int, probes: int) -> DataFrame:
+    """(slot, rep, v, lists): a row for each slot that holds rows of lists the query reads."""
+    shared = asked.sparkSession.sparkContext.broadcast((cells, first, blocks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, first, blocks = shared.value
+        step = max(1, min(1024, 20_000 // max(1, int((first + blocks).max()))))
+        for whole in batches:
+            for i in range(0, whole.num_rows, step):
+                b = whole.slice(i, step)
+                near = np.argsort(-(_vectors(b.column("v"), dim) @ cells.T), axis=1)[:, :probes]
+                times = blocks[near.ravel()]
+                row, cell = np.repeat(np.repeat(np.arange(b.num_rows), near.shape[1]), times), np.repeat(near.ravel(), times)
+                slot = first[cell] + np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
+                order = np.lexsort((slot, row))
+                row, cell, slot = row[order], cell[order], slot[order]
+                new = np.flatnonzero(np.concatenate([np.ones(min(1, len(row)), dtype=bool), (row[1:] != row[:-1]) | (slot[1:] != slot[:-1])]))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(cell)).astype(np.int32)), pa.array(cell.astype(np.int32)))
+                at = pa.array(row[new])
+                yield pa.RecordBatch.from_arrays([pa.array(slot[new]), b.column("rep").take(at), b.column("v").take(at), lists], ["slot", "rep", "v", "lists"])
+
+    return asked.select("rep", "v").mapInArrow(run, "slot long, rep long, v binary, lists array<int>")
+
+
+def probed(indexed: DataFrame, asked: DataFrame, codebooks: additive.Codebooks, dim: int, k: int, least: float, probes: int | None = None, cap: int = CAP, short: int | None = None) -> DataFrame:
+    """The representatives `asked` against the lists they read."""
+    sizes = {r["cell"]: r["count"] for r in indexed.groupBy("cell").count().collect()}  # a row per list
+    first, blocks = laid_out(sizes, len(codebooks.cells), cap)
+    slots = max(1, int((first + blocks).max()))
+    places = indexed.sparkSession.createDataFrame([(c, int(first[c]), int(blocks[c])) for c in sizes], "cell int, first long, blocks long")
+    rows = indexed.join(F.broadcast(places), "cell").withColumn("slot", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    short = short or max(SHORT, -(-EXHAUSTIVE_SHORT // slots))
+    return _scanned(rows, asks(asked, codebooks.cells, first, blocks, dim, probes or widened(len(codebooks.cells))), slots, codebooks.books, dim, k, short, least)
 
 
 def exhaustive(indexed: DataFrame, asked: DataFrame, books: np.ndarray | None, dim: int, k: int, short: int = EXHAUSTIVE_SHORT, block: int = EXHAUSTIVE_BLOCK) -> DataFrame:
     """A stated query set against every row, in blocks of index rows; `books` None: by brute force."""
     blocks = max(1, -(-indexed.count() // block))
     rows = indexed.withColumn("slot", F.pmod(F.xxhash64("rep"), F.lit(blocks)))
-    asks = asked.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return _scanned(rows, asks, books, dim, k, short, -2.0)
+    every = asked.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn("lists", F.lit(None).cast("array<int>"))
+    return _scanned(rows, every, blocks, books, dim, k, short, -2.0)
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -186,10 +246,11 @@ def best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def similar(df: DataFrame, id_col: str = "id", vec_col: str = "vec", dim: int = 64, k: int = 5, least: float = -2.0, queries: str | None = None, exact: bool = False, probes: int = PROBES, cap: int = CAP, short: int | None = None) -> DataFrame:
+def similar(df: DataFrame, id_col: str = "id", vec_col: str = "vec", dim: int = 64, k: int = 5, least: float = -2.0, queries: str | None = None, exact: bool = False, through_index: bool = False, probes: int | None = None, cap: int = CAP, short: int | None = None) -> DataFrame:
     """(query, other, cosine): the k most similar others of each vector, of cosine `least` or more.
 
-    `queries`, a condition on `rep`, asks for those vectors only, against all rows; `exact` by brute force (to measure recall).
+    `queries`, a condition on `rep`, asks for those vectors only, against all rows; `exact` by brute force, and
+    `through_index` as without `queries`, in the lists alone (to measure recall).
     """
     spark = df.sparkSession
     rows = comparable(df, id_col, vec_col, dim)
@@ -198,11 +259,12 @@ def similar(df: DataFrame, id_col: str = "id", vec_col: str = "vec", dim: int =
         return spark.createDataFrame([], "query long, other long, cosine double")
     named = classes(rows, dim)
     reps = named.groupBy("cls").agg(F.min_by("v", "id").alias("v"), F.min("id").alias("rep"), F.max("id").alias("last"))
-    kept = staged(index(reps.select("rep", "v", "cls", "last"), codebooks, dim, probes), "neighbours-index")
-    if queries is None:
-        near = probed(kept, codebooks.books, dim, k, least, cap, short or SHORT)
+    kept = staged(index(reps.select("rep", "v", "cls", "last"), codebooks, dim), "neighbours-index")
+    asked = kept if queries is None else kept.filter(queries)
+    if queries is None or through_index:
+        near = probed(kept, asked, codebooks, dim, k, least, probes, cap, short)
     else:
-        near = exhaustive(kept, kept.filter(queries), None if exact else codebooks.books, dim, k, short or EXHAUSTIVE_SHORT)
+        near = exhaustive(kept, asked, None if exact else codebooks.books, dim, k, short or EXHAUSTIVE_SHORT)
     near = best(near, k)
     shared = kept.filter("last > rep").select("cls", "rep")
     members = staged(named.select("cls", "id").join(shared, "cls").select("rep", "id").distinct(), "neighbours-members")

@@ -48,6 +48,21 @@ def test_query_set_recall_and_exact(spark):
     assert len(pairs(neighbours.similar(df, dim=16, queries="rep % 100 = 0", short=60)) & true) >= 0.9 * len(true)
 
 
+def test_recall_of_the_index_with_production_probes(spark):
+    x = np.random.default_rng(5).normal(size=(8000, 32))
+    ids = list(range(len(x)))
+    df = frame(spark, ids, x)
+    true = pairs(neighbours.similar(df, dim=32, queries="rep % 100 = 0", exact=True))
+    every = {p for p in pairs(neighbours.similar(df, dim=32)) if p[0] % 100 == 0}
+    assert len(every & true) >= 0.9 * len(true) == 360
+    assert pairs(neighbours.similar(df, dim=32, queries="rep % 100 = 0", through_index=True)) == every
+
+
+def test_lists_laid_into_slots():
+    first, blocks = neighbours.laid_out({0: 3, 1: 4, 3: 25, 4: 1, 5: 10}, 6, 10)
+    assert list(zip(first, blocks)) == [(0, 1), (0, 1), (0, 0), (1, 3), (4, 1), (5, 1)]
+
+
 def test_copies_are_expanded_but_bounded(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(30, 8))
