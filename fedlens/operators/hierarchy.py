@@ -180,7 +180,18 @@ def by_joins(links: DataFrame, paths: bool) -> DataFrame:
     return good.unionByName(lost)
 
 
-def descendants(resolved: DataFrame) -> DataFrame:
-    """(entity, ancestor, node, distance) for every node below another, from the paths of `hierarchy`; ids must not hold '/'."""
-    steps = resolved.filter("depth > 0").select("entity", "node", "depth", F.posexplode(F.split("path", "/")).alias("pos", "ancestor"))
-    return steps.filter("pos < depth").select("entity", "ancestor", "node", (F.col("depth") - F.col("pos")).alias("distance"))
+def descendants(resolved: DataFrame, *also: str) -> DataFrame:
+    """(entity, ancestor, node, distance, *also) for every node below another, from the paths of `hierarchy`; ids must not hold '/'.
+
+    Nodes on or below loops have no path and so no rows, unless `resolved` comes from `loops_cut`.
+    """
+    steps = resolved.filter("depth > 0").select("entity", "node", "depth", *also, F.posexplode(F.split("path", "/")).alias("pos", "ancestor"))
+    return steps.filter("pos < depth").select("entity", "ancestor", "node", (F.col("depth") - F.col("pos")).alias("distance"), *also)
+
+
+def loops_cut(resolved: DataFrame, hot: int = HOT) -> DataFrame:
+    """(entity, node, depth, cycle, path) of `hierarchy`, with each loop cut above the node that names it, from which depth and path are counted."""
+    caught = staged(resolved.filter("cycle is not null").select("entity", "node", "parent", "cycle"), "loops")
+    cut = hierarchy(caught, F.col("entity"), F.col("node"), F.when(F.col("node") != F.col("cycle"), F.col("parent")), hot=hot)
+    trees = resolved.filter("cycle is null").select("entity", "node", "depth", "cycle", "path")
+    return trees.unionByName(cut.select("entity", "node", "depth", F.col("root").alias("cycle"), "path"))

@@ -72,6 +72,12 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return below.select(F.col("entity").alias("trace_id"), F.col("ancestor").alias("ancestor_span_id"), F.col("node").alias("span_id"), F.col("distance").cast("long").alias("distance"))
 
 
+def p5_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """p5_descendants and the same for spans on or below a loop, which is named and cut above the span that names it."""
+    below = tree.descendants(tree.loops_cut(tree.hierarchy(*_span_links(spark, d))), "cycle")
+    return below.select(F.col("entity").alias("trace_id"), F.col("ancestor").alias("ancestor_span_id"), F.col("node").alias("span_id"), F.col("distance").cast("long").alias("distance"), F.col("cycle").alias("cycle_span_id"))
+
+
 def span_references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """References (ref_table, ref_field, ref_id, kind, key, at) and targets (kind, key, since, until) of problem 7."""
     edges, lineage, nodes, registry = (table(spark, d, n) for n in ("edges", "lineage", "nodes", "registry"))
@@ -97,7 +103,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(refs, orphans.orphans(refs, targets), ["ref_table", "ref_field"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_missing_numbers, p2_found, p2_periods, p3_found, p3_fields, p3_spans, p3_materializations, p3_manifests, p5_found, p5_paths, p5_descendants, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_missing_numbers, p2_found, p2_periods, p3_found, p3_fields, p3_spans, p3_materializations, p3_manifests, p5_found, p5_paths, p5_descendants, p5_all_descendants, p7_found, p7_report)}
 
 _IDENT = """ids AS (SELECT regexp_replace(lower(trim(sender)), '^0x', '') AS k, sequence AS s, CASE WHEN ts >= 100000000000 THEN ts // 1000 ELSE ts END AS t, arrival FROM messages
  WHERE sender IS NOT NULL AND trim(sender) <> '' AND ts IS NOT NULL AND sequence IS NOT NULL)"""
@@ -131,6 +137,11 @@ ORACLE = {
  up(e, v, a) AS (SELECT l.e, l.v, l.p FROM l LEFT JOIN down ON down.e = l.e AND down.v = l.v WHERE down.v IS NULL UNION SELECT up.e, up.v, l.p FROM up JOIN l ON l.e = up.e AND l.v = up.a), looped AS (SELECT e, v FROM up WHERE v = a)
  SELECT e AS trace_id, v AS span_id, root AS root_span_id, CAST(depth AS BIGINT) AS depth, path, NULL AS cycle_span_id FROM down UNION ALL SELECT up.e, up.v, NULL, NULL, NULL, min(up.a) FROM up JOIN looped ON looped.e = up.e AND looped.v = up.a GROUP BY 1, 2""",
     "p5_descendants": f"WITH RECURSIVE {_LINKS}, tree(e, v, depth) AS (SELECT e, v, 0 FROM l WHERE p IS NULL UNION ALL SELECT l.e, l.v, d.depth + 1 FROM tree d JOIN l ON l.e = d.e AND l.p = d.v), up(e, v, a, far) AS (SELECT l.e, l.v, l.p, 1 FROM l JOIN tree USING (e, v) WHERE l.p IS NOT NULL UNION ALL SELECT up.e, up.v, l.p, up.far + 1 FROM up JOIN l ON l.e = up.e AND l.v = up.a WHERE l.p IS NOT NULL) SELECT e AS trace_id, a AS ancestor_span_id, v AS span_id, CAST(far AS BIGINT) AS distance FROM up",
+    "p5_all_descendants": f"""WITH RECURSIVE {_LINKS}, up(e, v, a) AS (SELECT e, v, p FROM l WHERE p IS NOT NULL UNION SELECT up.e, up.v, l.p FROM up JOIN l ON l.e = up.e AND l.v = up.a WHERE l.p IS NOT NULL), looped AS (SELECT e, v FROM up WHERE v = a),
+ named AS (SELECT up.e, up.v, min(up.a) AS c FROM up JOIN looped ON looped.e = up.e AND looped.v = up.a GROUP BY 1, 2),
+ cut AS (SELECT l.e, l.v, c, CASE WHEN c = l.v THEN NULL ELSE l.p END AS p FROM l LEFT JOIN named ON named.e = l.e AND named.v = l.v),
+ way(e, v, c, a, far) AS (SELECT e, v, c, p, 1 FROM cut WHERE p IS NOT NULL UNION ALL SELECT way.e, way.v, way.c, cut.p, way.far + 1 FROM way JOIN cut ON cut.e = way.e AND cut.v = way.a WHERE cut.p IS NOT NULL)
+ SELECT e AS trace_id, a AS ancestor_span_id, v AS span_id, CAST(far AS BIGINT) AS distance, c AS cycle_span_id FROM way""",
     "p7_found": f"WITH {_REFS} SELECT DISTINCT ref_table, ref_field, ref_id, k AS ref_key FROM gone",
     "p7_report": f"WITH {_REFS}, a AS (SELECT ref_table, ref_field, strftime(made, '%Y-%m') AS month, count(*) AS refs FROM refs WHERE k IS NOT NULL AND k <> '' GROUP BY ALL), b AS (SELECT ref_table, ref_field, strftime(made, '%Y-%m') AS month, count(*) AS orphans FROM gone GROUP BY ALL) SELECT a.ref_table, a.ref_field, a.month, a.refs, coalesce(b.orphans, 0) AS orphans FROM a LEFT JOIN b USING (ref_table, ref_field, month)",
 }

@@ -63,5 +63,15 @@ def test_descendants(spark):
     assert sorted(map(tuple, below.collect())) == [("t", "a", "b", 1), ("t", "a", "c", 2), ("t", "b", "c", 1)]
 
 
+@pytest.mark.parametrize("hot", [tree.HOT, 0])
+def test_descendants_on_and_below_loops(spark, hot):
+    rows = [("t", "a", None), ("t", "b", "a"), ("t", "x", "z"), ("t", "y", "x"), ("t", "z", "y"), ("t", "w", "y"), ("t", "v", "w"), ("t", "s", "s"), ("t", "u", "s")]
+    df = spark.createDataFrame([(*r, "r", "p") for r in rows], SCHEMA)
+    found = tree.hierarchy(df, F.col("entity"), F.col("node"), F.col("parent"), hot=hot)
+    below = tree.descendants(tree.loops_cut(found, hot), "cycle")
+    true = {None: ["ab1"], "x": ["xy1", "xz2", "yz1", "xw2", "yw1", "xv3", "yv2", "wv1"], "s": ["su1"]}
+    assert sorted(map(tuple, below.collect()), key=repr) == sorted((("t", a, n, int(far), c) for c in true for a, n, far in true[c]), key=repr)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
