@@ -249,7 +249,7 @@ def best(found: DataFrame, k: int) -> DataFrame:
 def similar(df: DataFrame, id_col: str = "id", vec_col: str = "vec", dim: int = 64, k: int = 5, least: float = -2.0, queries: str | None = None, exact: bool = False, through_index: bool = False, probes: int | None = None, cap: int = CAP, short: int | None = None) -> DataFrame:
     """(query, other, cosine): the k most similar others of each vector, of cosine `least` or more.
 
-    `queries`, a condition on `rep`, asks for those vectors only, against all rows; `exact` by brute force, and
+    `queries`, a condition on the id by the name of `rep`, asks for those vectors only, against all rows; `exact` by brute force, and
     `through_index` as without `queries`, in the lists alone (to measure recall).
     """
     spark = df.sparkSession
@@ -260,7 +260,9 @@ def similar(df: DataFrame, id_col: str = "id", vec_col: str = "vec", dim: int =
     named = classes(rows, dim)
     reps = named.groupBy("cls").agg(F.min_by("v", "id").alias("v"), F.min("id").alias("rep"), F.max("id").alias("last"))
     kept = staged(index(reps.select("rep", "v", "cls", "last"), codebooks, dim), "neighbours-index")
-    asked = kept if queries is None else kept.filter(queries)
+    asked = kept
+    if queries is not None:  # every class with a member that is asked for, whichever id represents it
+        asked = kept.join(named.select("cls", F.col("id").alias("rep")).filter(queries).select("cls").distinct(), "cls", "left_semi")
     if queries is None or through_index:
         near = probed(kept, asked, codebooks, dim, k, least, probes, cap, short)
     else:
@@ -268,10 +270,11 @@ def similar(df: DataFrame, id_col: str = "id", vec_col: str = "vec", dim: int =
     near = best(near, k)
     shared = kept.filter("last > rep").select("cls", "rep")
     members = staged(named.select("cls", "id").join(shared, "cls").select("rep", "id").distinct(), "neighbours-members")
-    return with_members(near, members, k, queries).filter(F.col("cosine") >= least)
+    rows = with_members(near, members, k).filter(F.col("cosine") >= least)
+    return rows if queries is None else rows.withColumn("rep", F.col("query")).filter(queries).drop("rep")
 
 
-def with_members(near: DataFrame, members: DataFrame, k: int, queries: str | None) -> DataFrame:
+def with_members(near: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """Put the members (rep, id) of classes back: (query, other, cosine) over ids from pairs of representatives.
 
     A member of a class has the others of its class first. Only the k+1 smallest ids of a class can be
@@ -285,6 +288,4 @@ def with_members(near: DataFrame, members: DataFrame, k: int, queries: str | Non
     outside = outside.filter("room > 0").withColumn("rank", F.row_number().over(order)).filter("rank <= room")
     outside = outside.join(heads.select(F.col("rep").alias("query"), F.col("id").alias("member")), "query", "left").select(F.coalesce("member", "query").alias("query"), "other", "cosine")
     inside = members.join(heads.withColumnRenamed("id", "other"), "rep").filter("id <> other").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("other"))).filter(F.col("rank") <= k)
-    if queries is not None:
-        inside = inside.filter(queries)
     return outside.unionByName(inside.select(F.col("id").alias("query"), "other", F.lit(1.0).alias("cosine")))

@@ -71,6 +71,15 @@ def test_copies_are_expanded_but_bounded(spark):
     assert pairs(neighbours.similar(frame(spark, ids, copies), dim=8, probes=64)) == brute(ids, copies.astype(np.float32).astype(float), 5)
 
 
+@pytest.mark.parametrize("how", [{"exact": True}, {}, {"through_index": True, "probes": 64}])
+def test_queries_are_told_by_their_own_id(spark, how):
+    x = np.random.default_rng(6).normal(size=(30, 8))
+    x = np.concatenate([np.repeat(x[:1], 4, axis=0), np.repeat(x[1:2], 9, axis=0), x[2:]])
+    ids = [150, 200, 300, 301, 100, 101, 102, 103, 104, 105, 106, 107, 400, *range(500, 500 + len(x) - 13)]
+    got = pairs(neighbours.similar(frame(spark, ids, x), dim=8, queries="rep % 100 = 0", **how))
+    assert got == {p for p in brute(ids, x.astype(np.float32).astype(float), 5) if p[0] % 100 == 0}
+
+
 def test_vectors_that_take_no_part_and_repeated_ids(spark):
     good = [[1, 0, 0, 1], [1, 0, 0, 1.01], [0, 1, 0, 0]]
     bad = [None, [1, 0], [0, 0, 0, 0], [1, float("nan"), 0, 0], [1, float("inf"), 0, 0], [1, None, 0, 0], []]
