@@ -1,15 +1,17 @@
 """Messages delivered more than once: one copy of each, by seen ranges per producer.
 
 A message is named by (sender key, sequence, whole second). Most producers count upwards, so what was
-seen of a producer is a few disjoint ranges of sequence numbers. A number outside them is new: it is
-accepted once, by its first receipt, and merged into the ranges. A number inside them either repeats the
-accepted instant (a surplus receipt) or carries another one, because the counter started again or the
-identifier is malformed; only those go through an exact lookup by (sender, sequence, second).
-
-Scale: ranges are cut at multiples of `BLOCK` numbers, so every join and window on them is keyed by
-(sender, block) and one busy sender spreads over many tasks. Receipts are pre-aggregated per number before
-the shuffle, so a message received a billion times costs one row per map task there; the join back to its
-receipts splits under adaptive skew handling, its other side being one row per number.
+seen of a producer is a few disjoint ranges of sequence numbers, and they are all the state there is. A
+number outside them is new: it is accepted once, by its first receipt, and merged into the ranges. A number
+inside them either repeats a message or names another one, because the counter started again or the
+identifier is malformed; only those are looked up, by (sender, sequence, second), among the receipts of
+earlier batches, wherever these lie (in the source or among what was accepted), and nowhere else.
+
+Scale: receipts are pre-aggregated per number before any shuffle, so a message received a billion times costs
+one row per map task; it is these numbers, not the receipts, that are tested against the ranges. Ranges are
+cut at multiples of `BLOCK` numbers, so one busy sender spreads over many tasks and the ranges of a (sender,
+block) are at most `BLOCK` / 2. The join back to the receipts of repeated numbers splits under adaptive skew
+handling, its other side being one row per number.
 
 Defined results: a row without sender, sequence or ts is never surplus and always accepted; rows equal in
 all of sender, sequence, second and order are one receipt; other columns may hold anything and have any name.
@@ -18,28 +20,28 @@ all of sender, sequence, second and order are one receipt; other columns may hol
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fedlens.common import BLANKS, sender_form, whole_seconds
 
-BLOCK = 1 << 16
+BLOCK = 1 << 12
 
 
 @dataclass
 class Seen:
-    """What earlier batches left: `ranges` (sender, block, lo, hi) and `receipts` (sender, number, second, kept)."""
+    """What earlier batches left: `ranges` (sender, block, lo, hi), the state, and `history` (sender, number, second, at), where covered numbers are looked up."""
 
     ranges: DataFrame
-    receipts: DataFrame
+    history: DataFrame
 
 
 @dataclass
 class Received:
     surplus: DataFrame  #: kept, surplus, sender, number, second
     seen: Seen  #: what this and all earlier batches saw
-    kept: DataFrame  #: the receipts this batch adds to it
 
     def accepted(self, batch: DataFrame, order: str = "arrival") -> DataFrame:
         """`batch` without its surplus receipts."""
@@ -61,7 +63,7 @@ def unpacked(key: Column) -> Column:
     return F.when(F.octet_length(key) == 32, F.lower(F.hex(key))).otherwise(F.decode(F.substring(key, 34, 2**31 - 1), "UTF-8"))
 
 
-def identified(batch: DataFrame, sender: str, sequence: str, ts: str, order: str) -> DataFrame:
+def identified(batch: DataFrame, sender: str = "sender", sequence: str = "sequence", ts: str = "ts", order: str = "arrival") -> DataFrame:
     """(sender, number, second, at) of the rows that have an identifier; senders as bytes."""
     c = lambda n: batch[f"`{n}`"]
     rows = batch.select(packed(c(sender)).alias("sender"), c(sequence).cast("long").alias("number"), whole_seconds(c(ts)).alias("second"), c(order).cast("long").alias("at"))
@@ -85,39 +87,62 @@ def joined_ranges(ranges: DataFrame) -> DataFrame:
     return runs.groupBy("sender", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select(unpacked(F.col("sender")).alias("sender"), "lo", "hi")
 
 
+def block_of(number: Column) -> Column:
+    return F.floor(number / BLOCK)
+
+
+def tested(numbers: DataFrame, ranges: DataFrame) -> DataFrame:
+    """`numbers` (sender, number, ...) with `covered`: whether a range of the same sender holds the number."""
+    packs = ranges.groupBy("sender", "block").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))  # at most BLOCK / 2
+    joined = numbers.withColumn("block", block_of(F.col("number"))).join(packs, ["sender", "block"], "left")
+    inside = F.exists("__spans", lambda r: F.col("number").between(r["lo"], r["hi"]))
+    return joined.withColumn("covered", F.coalesce(inside, F.lit(False))).drop("block", "__spans")
+
+
 def receive(batch: DataFrame, seen: Seen | None = None, sender: str = "sender", sequence: str = "sequence", ts: str = "ts", order: str = "arrival") -> Received:
     """Find the surplus receipts of `batch` and what is seen after it.
 
-    `seen` comes from the batches before; receipts named there are kept, so every copy in `batch` is surplus.
+    `seen` comes from the batches before; messages received there are kept, so every copy in `batch` is surplus.
     """
     key = ["sender", "number"]
-    block = F.floor(F.col("number") / BLOCK)
     rows = identified(batch, sender, sequence, ts, order)
-    fresh, earlier = rows, None
+    numbers = rows.groupBy(*key).agg(F.min("at").alias("first"), F.min_by("second", "at").alias("first_second"), F.count(F.lit(1)).alias("n"))
     if seen is not None:
-        spans = seen.ranges.select(F.col("sender").alias("r_sender"), F.col("block").alias("r_block"), "lo", "hi")
-        inside = (F.col("sender") == F.col("r_sender")) & (block == F.col("r_block")) & F.col("number").between(F.col("lo"), F.col("hi"))
-        covered = rows.join(spans, inside, "left_semi")
-        fresh = rows.join(spans, inside, "left_anti")
-        known = covered.join(seen.receipts, [*key, "second"], "left")
-        earlier = known.filter("kept is not null")
-        fresh = fresh.unionByName(known.filter("kept is null").drop("kept"))
-    numbers = fresh.groupBy(*key).agg(F.min("at").alias("first"), F.min_by("second", "at").alias("first_second"), F.count(F.lit(1)).alias("n"))
-    again = fresh.join(numbers.filter("n > 1").drop("n"), key).filter("at > first")
+        numbers = tested(numbers, seen.ranges)
+        back = rows.join(numbers.filter("n > 1 or covered").drop("n"), key).filter("covered or at > first")
+        again, inside = back.filter("not covered"), back.filter("covered").select(*key, "second", "at")
+    else:
+        again = rows.join(numbers.filter("n > 1").drop("n"), key).filter("at > first")
     plain = again.filter("second = first_second").select(*key, "second", "at", F.col("first").alias("kept"))
     odd = again.filter("second <> first_second").select(*key, "second", "at")
-    lookup = odd.groupBy(*key, "second").agg(F.min("at").alias("kept"))
-    exact = odd.join(lookup, [*key, "second"]).filter("at > kept")
-    surplus = plain.unionByName(exact)
-    if earlier is not None:
-        surplus = surplus.unionByName(earlier)
-    kept = numbers.select(*key, F.col("first_second").alias("second"), F.col("first").alias("kept")).unionByName(lookup)
-    ranges = numbers.select("sender", block.alias("block"), F.col("number").alias("lo"), F.col("number").alias("hi"))
-    every = kept
     if seen is not None:
-        every, ranges = seen.receipts.unionByName(kept), seen.ranges.unionByName(ranges)
+        asked = inside.select(*key, "second").distinct()
+        earlier = seen.history.join(asked, [*key, "second"], "left_semi").groupBy(*key, "second").agg(F.min("at").alias("kept"))
+        known = inside.join(earlier, [*key, "second"], "left")
+        plain = plain.unionByName(known.filter("kept is not null"))
+        odd = odd.unionByName(known.filter("kept is null").drop("kept"))
+    lookup = odd.groupBy(*key, "second").agg(F.min("at").alias("kept"))
+    surplus = plain.unionByName(odd.join(lookup, [*key, "second"]).filter("at > kept"))
+    fresh = numbers if seen is None else numbers.filter("not covered")
+    ranges = fresh.select("sender", block_of(F.col("number")).alias("block"), F.col("number").alias("lo"), F.col("number").alias("hi"))
     found = surplus.select("kept", F.col("at").alias("surplus"), unpacked(F.col("sender")).alias("sender"), "number", "second")
-    return Received(found, Seen(merged_ranges(ranges), every), kept)
+    if seen is None:
+        return Received(found, Seen(merged_ranges(ranges), rows))
+    return Received(found, Seen(merged_ranges(seen.ranges.unionByName(ranges)), seen.history.unionByName(rows)))
+
+
+def receive_in_turn(messages: DataFrame, slices: int = 2, order: str = "arrival", **columns: str) -> Received:
+    """A whole table as `slices` batches of equal width in `order`, each tested against the ranges of those before."""
+    at = messages[f"`{order}`"].cast("long")
+    low, high = messages.agg(F.min(at), F.max(at)).first()
+    seen, found = None, []
+    edges = [None, *[low + (high - low) * k // slices for k in range(1, slices)], None] if low is not None else [None, None]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        inside = F.lit(True) if lo is None else at > lo
+        got = receive(messages.filter(inside if hi is None else inside & (at <= hi)), seen, order=order, **columns)
+        found.append(got.surplus)
+        seen = got.seen
+    return Received(reduce(DataFrame.unionByName, found), seen)
 
 
 def missing_numbers(ranges: DataFrame) -> DataFrame:

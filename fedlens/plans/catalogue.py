@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fedlens.common import plain, shared_dir, table, to_nanos
+from fedlens.common import plain, sender_form, shared_dir, table, to_nanos
 from fedlens.functions import identity
 from fedlens.operators import closure, messages, records, vectors
 from fedlens.plans import graph, ops
@@ -181,8 +181,6 @@ def msg_quorum(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH m AS (SELECT {_KEY} AS k, now AS t FROM messages WHERE sender IS NOT NULL AND now IS NOT NULL), g AS (SELECT *, CASE WHEN t > lag(t) OVER (PARTITION BY k ORDER BY t) + 3600 THEN 1 ELSE 0 END AS o FROM m),
  s AS (SELECT *, sum(o) OVER (PARTITION BY k ORDER BY t RANGE UNBOUNDED PRECEDING) AS n FROM g) SELECT k AS peer, min(t) AS first_seen, max(t) AS last_seen, count(*) AS messages FROM s GROUP BY k, n""")
 def msg_liveness(spark: SparkSession, d: str) -> DataFrame:
-    from fedlens.common import sender_form
-
     spells = messages.liveness(table(spark, d, "messages"), sender_form(F.col("sender")), F.col("now"), 3600)
     return spells.select("peer", F.unix_timestamp("first").alias("first_seen"), F.unix_timestamp("last").alias("last_seen"), "messages")
 
@@ -448,6 +446,39 @@ def stream_sequence(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT min(arrival) AS arrival FROM (SELECT arrival, {_KEY} AS k, sequence AS s, CASE WHEN ts >= 100000000000 THEN ts // 1000 ELSE ts END AS t FROM messages) GROUP BY CASE WHEN k IS NULL OR k = '' OR t IS NULL OR s IS NULL THEN arrival END, CASE WHEN t IS NULL OR s IS NULL THEN NULL ELSE k END, s, t")
 def stream_receipts(spark: SparkSession, d: str) -> DataFrame:
-    out = _folder(spark)
-    live.exactly_once_sink(_message_stream(spark, d), out, f"{out}/state").awaitTermination()
+    """The messages as three batches in order of arrival, each tested against the ranges of those before."""
+    out, every = _folder(spark), table(spark, d, "messages")
+    low, high, rows = every.agg(F.min("arrival"), F.max("arrival"), F.count(F.lit(1))).first()
+    tasks = 1 + rows // 3_000_000
+    third = F.floor((F.col("arrival") - (low or 0)) * 3 / ((high or 0) - (low or 0) + 1))
+    for k in range(3):  # the source takes older files first
+        every.filter(third == k).repartition(tasks).write.mode("append").parquet(f"{out}/source")
+    stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", tasks).parquet(f"{out}/source")
+    live.exactly_once_sink(stream, out, f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/accepted").select("arrival")
+
+
+@query("""WITH w AS (SELECT CASE WHEN ts >= 100000000000 THEN ts // 1000 ELSE ts END // 3600 AS h, message_type FROM messages WHERE ts IS NOT NULL) SELECT h * 3600 AS window_start, message_type, count(*) AS messages FROM w GROUP BY ALL""")
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Messages per hour of their own time and type, as they stand after the last batch."""
+    out = _folder(spark)
+
+    def keep(df: DataFrame, _: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/counts")
+
+    counts = live.counts_per_window(_message_stream(spark, d), "1 hour", delay="2 hours")
+    counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/counts").select(F.unix_timestamp("start").alias("window_start"), "message_type", "messages")
+
+
+@query(f"""WITH m AS (SELECT {_KEY} AS k, sequence AS s, now AS t, message_type AS y FROM messages WHERE sender IS NOT NULL AND sequence IS NOT NULL AND now IS NOT NULL)
+ SELECT a.k AS sender, a.s AS sequence, a.t AS first_at, b.t AS second_at FROM m a JOIN m b ON a.k = b.k AND a.s + 1 = b.s AND abs(a.t - b.t) <= 600 WHERE a.y = 1""")
+def stream_join(spark: SparkSession, d: str) -> DataFrame:
+    """Each gradient update with the receipts of its sender's next number within ten minutes, as a join of two streams."""
+    out, m = _folder(spark), _message_stream(spark, d)
+    keyed = m.select(sender_form(F.col("sender")).alias("sender"), "sequence", F.timestamp_seconds("now").alias("at"), "message_type").dropna(subset=["sender", "sequence", "at"])
+    after = keyed.withColumn("sequence", F.col("sequence") - 1)
+    both = live.joined_streams(keyed.filter("message_type = 1"), after, 600, "365 days")
+    both.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(both.schema).parquet(f"{out}/rows")
+    return rows.select("sender", "sequence", F.unix_timestamp("first_at").alias("first_at"), F.unix_timestamp("second_at").alias("second_at"))

@@ -11,12 +11,12 @@ from fedlens.operators import drift, intervals, orphans, receipts
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    got = receipts.receive(table(spark, d, "messages"))
+    got = receipts.receive_in_turn(table(spark, d, "messages"))
     return got.surplus.select(F.col("kept").alias("kept_arrival"), F.col("surplus").alias("arrival"))
 
 
 def p1_missing_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return receipts.missing_numbers(receipts.receive(table(spark, d, "messages")).seen.ranges)
+    return receipts.missing_numbers(receipts.receive_in_turn(table(spark, d, "messages")).seen.ranges)
 
 
 def _span_times(spark: SparkSession, d: str):
@@ -91,7 +91,7 @@ def span_references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ]
     target = lambda df, kind, key, since: df.select(F.lit(kind).alias("kind"), key.alias("key"), F.col(since).alias("since"), F.col("removed_at").alias("until"))
     targets = [target(nodes, "node", plain(F.col("node_id")), "recorded_at"), target(registry, "fingerprint", plain(F.col("fingerprint_v0")), "registered_at"), target(registry, "asset", asset_form(F.col("asset_key")), "registered_at")]
-    return refs[0].unionByName(refs[1]).unionByName(refs[2]).unionByName(refs[3]).filter("key is not null").distinct(), targets[0].unionByName(targets[1]).unionByName(targets[2])
+    return refs[0].unionByName(refs[1]).unionByName(refs[2]).unionByName(refs[3]).filter("key is not null"), targets[0].unionByName(targets[1]).unionByName(targets[2])
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +100,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     refs, targets = span_references(spark, d)
-    return orphans.orphan_report(refs, orphans.orphans(refs, targets), ["ref_table", "ref_field"])
+    return orphans.orphan_report(refs, targets, ["ref_table", "ref_field"])
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_missing_numbers, p2_found, p2_periods, p3_found, p3_fields, p3_spans, p3_materializations, p3_manifests, p5_found, p5_paths, p5_descendants, p5_all_descendants, p7_found, p7_report)}

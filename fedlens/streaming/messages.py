@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fedlens.common import sender_form, whole_seconds
 from fedlens.operators.messages import SKEW_SECONDS, WINDOW, reject_reason
-from fedlens.operators.receipts import Seen, receive
+from fedlens.operators.receipts import Seen, identified, receive
 
 VERDICTS = "peer string, arrival long, sequence long, verdict string"
 
@@ -75,21 +75,36 @@ def counts_per_window(stream: DataFrame, length: str = "1 minute", slide: str |
     return sums.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "message_type", "messages")
 
 
+def joined_streams(left: DataFrame, right: DataFrame, seconds: int = 60, delay: str = "2 minutes") -> DataFrame:
+    """(sender, sequence, first_at, second_at): rows of two streams with (sender, sequence, at) of one identifier at most `seconds` apart.
+
+    Both sides have a watermark and the join a bound in time, so what is held for late partners is bounded too.
+    """
+    a = left.select(F.col("sender"), F.col("sequence"), F.col("at").alias("first_at")).withWatermark("first_at", delay)
+    b = right.select(F.col("sender").alias("b_sender"), F.col("sequence").alias("b_sequence"), F.col("at").alias("second_at")).withWatermark("second_at", delay)
+    near = F.expr(f"sender = b_sender and sequence = b_sequence and second_at between first_at - interval {seconds} seconds and first_at + interval {seconds} seconds")
+    return a.join(b, near).select("sender", "sequence", "first_at", "second_at")
+
+
 def exactly_once_sink(stream: DataFrame, folder: str, checkpoint: str):
-    """Start a query that writes surplus-free batches below `folder`, keeping the seen ranges and receipts there.
+    """Start a query that writes surplus-free batches below `folder` and keeps the seen ranges there.
 
-    A batch writes its rows, the ranges so far and its own receipts under its number, so a batch run again
-    replaces what it wrote, and receipts of earlier batches are read but never written again.
+    The ranges are the only state. A number they cover is looked up in the batches accepted before, of which
+    only the row groups with numbers of this batch are read. A batch writes its rows and the ranges so far
+    under its number, so a batch run again replaces what it wrote.
     """
     spark = stream.sparkSession
 
     def batch(df: DataFrame, number: int) -> None:
         seen = None
         if number > 0:
-            seen = Seen(spark.read.parquet(f"{folder}/ranges/{number - 1}"), spark.read.parquet(f"{folder}/receipts").filter(F.col("batch") < number).drop("batch"))
+            low, high = df.agg(F.min("sequence"), F.max("sequence")).first()
+            before = spark.read.schema(df.schema.add("batch", "long")).parquet(f"{folder}/accepted").filter(F.col("batch") < number)
+            if low is not None:
+                before = before.filter(F.col("sequence").between(low, high))
+            seen = Seen(spark.read.parquet(f"{folder}/ranges/{number - 1}"), identified(before))
         got = receive(df, seen)
         got.accepted(df).write.mode("overwrite").parquet(f"{folder}/accepted/batch={number}")
         got.seen.ranges.write.mode("overwrite").parquet(f"{folder}/ranges/{number}")
-        got.kept.write.mode("overwrite").parquet(f"{folder}/receipts/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

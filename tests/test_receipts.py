@@ -52,6 +52,32 @@ def test_batches_in_turn_equal_one(spark):
     assert sorted(map(tuple, receipts.joined_ranges(seen.ranges).collect())) == sorted(map(tuple, receipts.joined_ranges(receipts.receive(df).seen.ranges).collect()))
 
 
+def test_slices_of_a_table_equal_one_batch(spark):
+    rng = random.Random(5)
+    rows = rows_of(*[(i, rng.choice([KEY, f"0x{KEY}", "cd" * 32, None]), rng.randrange(0, 3 * receipts.BLOCK, 700), rng.choice([1, 2, None])) for i in range(500)])
+    df = spark.createDataFrame(rows, SCHEMA)
+    for slices in (1, 2, 5):
+        got = receipts.receive_in_turn(df, slices)
+        assert surplus(got) == brute(rows)
+        assert got.seen.ranges.count() == len({(r[1].removeprefix("0x"), r[2]) for r in rows if r[1] and r[3]})  # no two numbers touch
+    plan = receipts.receive_in_turn(df).surplus._jdf.queryExecution().optimizedPlan().toString()
+    assert "__spans" in plan and "exists" in plan
+
+
+def test_a_counter_that_starts_again_in_a_later_batch(spark):
+    rows = rows_of((1, KEY, 1, 10), (2, KEY, 2, 11), (3, KEY, 3, 12), (6, KEY, 2, 90), (7, KEY, 2, 90), (8, KEY, 2, 11), (9, KEY, 3, 91), (10, KEY, 4, 92))
+    df = spark.createDataFrame(rows, SCHEMA)
+    first = receipts.receive(df.filter("arrival < 5"))
+    second = receipts.receive(df.filter("arrival > 5"), first.seen)
+    assert surplus(first) == [] and surplus(second) == [(2, 8), (6, 7)]
+    assert [(r.lo, r.hi) for r in receipts.joined_ranges(second.seen.ranges).collect()] == [(1, 4)]
+
+
+def test_one_number_received_very_often(spark):
+    rows = rows_of(*[(i, KEY, 7, 10) for i in range(3000)], *[(3000 + i, KEY, i, 10) for i in range(50)])
+    assert surplus(receipts.receive_in_turn(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
 def test_ranges_merge_over_blocks_and_leave_holes(spark):
     rows = rows_of(*[(i, KEY, n, 1) for i, n in enumerate([receipts.BLOCK - 1, receipts.BLOCK, receipts.BLOCK + 3])])
     seen = receipts.receive(spark.createDataFrame(rows, SCHEMA)).seen
@@ -68,4 +94,4 @@ def test_accepted_keeps_one_copy_and_rows_without_identifier(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     got = receipts.receive(df)
-    assert got.surplus.count() == 0 and got.seen.ranges.count() == 0 and got.accepted(df).count() == 0
+    assert receipts.receive_in_turn(df).surplus.count() == 0 and got.surplus.count() == 0 and got.seen.ranges.count() == 0 and got.accepted(df).count() == 0
