@@ -3,24 +3,34 @@
 A reference (kind, key) made at an instant is an orphan if no target of that kind and key is live then; a
 target is live from one instant, included, to another, excluded (null: for ever).
 
-Method, skew-aware split: references are pre-aggregated per (kind, key, period) before any shuffle. From those
-counts the `HEAVY` most used keys with at least `LEAST` references are named; the list is bounded, so their
-live intervals are broadcast and their references never move. All other keys go through a shuffle join of
-references with the intervals of their key. Both parts are united.
+Method, skew-aware split. References are pre-aggregated per (kind, key, period) to a count and the first and
+last instant, before any shuffle. From the counts come the heavy keys, those with `SHARE` of all references or
+more; there can be no more than 1 / `SHARE` of them. The live intervals of heavy keys are broadcast, as long as
+a key has at most `INTERVALS`, and their references are checked where they lie and never move. For all other
+keys the aggregates, not the references, meet the live intervals of their key: a shuffled anti-join finds the
+(key, period) during which nothing was live, all of whose references are orphans; those during which one
+interval was live throughout have none; only the references of the few others are checked one by one. Both
+parts are united.
 
-Scale: the intervals of a key are merged to disjoint ones first, so a key removed and recorded again a few
-times has a few; a target table full of repeated rows collapses in the map tasks.
+Scale: at most 1 / `SHARE` x `INTERVALS` rows are broadcast. The intervals of a key are merged to disjoint ones
+first, so a key removed and recorded again a few times has a few; a target table full of repeated rows
+collapses in the map tasks. A key beyond `INTERVALS` goes the shuffled way, however heavy it is.
 
 Defined results: null and blank references are none; a reference without an instant is an orphan only if its
-key has no target at all; repeated rows of a reference are one.
+key is never live; repeated rows of a reference are one for `orphan_report`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEAVY, LEAST = 1000, 100_000
+from fedlens.common import staged
+
+SHARE, INTERVALS = 1 / 2000, 200
+KEY = ["kind", "key"]
 
 
 def live_intervals(targets: DataFrame) -> DataFrame:
@@ -35,32 +45,75 @@ def live_intervals(targets: DataFrame) -> DataFrame:
     return merged.select("kind", "key", "since", F.when(~F.col("endless"), F.col("until")).alias("until"))
 
 
-def heavy_keys(references: DataFrame, heavy: int = HEAVY, least: int = LEAST) -> DataFrame:
-    """At most `heavy` keys (kind, key) that have `least` references or more, by counts per key and period."""
-    per_period = references.groupBy("kind", "key", F.date_trunc("month", "at").alias("period")).agg(F.count(F.lit(1)).alias("n"))
-    return per_period.groupBy("kind", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "kind", "key").limit(heavy).select("kind", "key")
+def month(at: Column | str) -> Column:
+    return F.date_trunc("month", at)
 
 
-def orphans(references: DataFrame, targets: DataFrame, heavy: int = HEAVY, least: int = LEAST) -> DataFrame:
-    """The rows of references (kind, key, at, ...) with no live target; all their columns are kept."""
-    refs = references.filter("kind is not null and key is not null")
+def counted(references: DataFrame, by: list[str]) -> DataFrame:
+    """(kind, key, by..., __period, __n, __first, __last): references per key and month of `at`."""
+    return references.groupBy(*KEY, *by, month("at").alias("__period")).agg(F.count(F.lit(1)).alias("__n"), F.min("at").alias("__first"), F.max("at").alias("__last"))
+
+
+def heavy_keys(per_period: DataFrame, live: DataFrame, share: float = SHARE, intervals: int = INTERVALS) -> list[tuple[str, str]]:
+    """The keys with `share` of all references or more, and with at most `intervals` live intervals; never more than 1 / share keys."""
+    total = per_period.agg(F.sum("__n")).first()[0] or 0
+    often = per_period.groupBy(*KEY).agg(F.sum("__n").alias("n")).filter(F.col("n") >= max(2.0, share * total)).select(*KEY)
+    found = live.join(F.broadcast(often), KEY, "right").groupBy(*KEY).agg(F.count("since").alias("spells")).filter(F.col("spells") <= intervals)
+    return sorted((r["kind"], r["key"]) for r in found.collect())  # at most 1 / share rows
+
+
+def _dead() -> Column:
+    """Whether no interval of the list `__live` holds the instant `at`."""
+    return F.expr("__live is null or (at is not null and not exists(__live, x -> x.since <= at and (x.until is null or at < x.until)))")
+
+
+def _lists(live: DataFrame) -> DataFrame:
+    return live.groupBy(*KEY).agg(F.collect_list(F.struct("since", "until")).alias("__live"))
+
+
+def _parts(references: DataFrame, targets: DataFrame, by: list[str], share: float, intervals: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orphans among references of heavy keys; (kind, key, by..., __period, __n) of which all references are orphans; orphans of other periods."""
+    spark = references.sparkSession
     live = live_intervals(targets)
-    named = heavy_keys(refs, heavy, least)
-    found = [(r["kind"], r["key"]) for r in named.collect()]  # at most `heavy` rows
-    lists = lambda d: d.groupBy("kind", "key").agg(F.collect_list(F.struct("since", "until")).alias("__live"))
-    dead = F.expr("__live is null or (at is not null and not exists(__live, x -> x.since <= at and (x.until is null or at < x.until)))")
-    if not found:
-        return refs.join(lists(live), ["kind", "key"], "left").filter(dead).drop("__live")
-    marks = refs.sparkSession.createDataFrame(found, "kind string, key string").withColumn("__heavy", F.lit(True))
-    split = refs.join(F.broadcast(marks), ["kind", "key"], "left")
-    busy_live = lists(live.join(F.broadcast(marks.drop("__heavy")), ["kind", "key"], "left_semi"))
-    busy = split.filter("__heavy").drop("__heavy").join(F.broadcast(busy_live), ["kind", "key"], "left").filter(dead)
-    rest = split.filter("__heavy is null").drop("__heavy").join(lists(live), ["kind", "key"], "left").filter(dead)
-    return busy.unionByName(rest).drop("__live")
-
-
-def orphan_report(references: DataFrame, orphaned: DataFrame, by: list[str]) -> DataFrame:
-    """Per `by` columns and month of `at`: number of references and of orphans among them."""
-    month = F.date_format("at", "yyyy-MM").alias("month")
-    counts = lambda d, c: d.groupBy(*by, month).agg(F.count(F.lit(1)).alias(c))
-    return counts(references.filter("kind is not null and key is not null"), "refs").join(counts(orphaned, "orphans"), [*by, "month"], "left").fillna(0, ["orphans"])
+    per_period = staged(counted(references, by), "orphans-periods")
+    heavy = heavy_keys(per_period, live, share, intervals)
+    marks = spark.createDataFrame(heavy, "kind string, key string")
+    busy_live = F.broadcast(_lists(live.join(F.broadcast(marks), KEY, "left_semi")))  # 1 / share x intervals at most
+    busy = references.join(F.broadcast(marks), KEY, "left_semi").join(busy_live, KEY, "left").filter(_dead()).drop("__live")
+    rest = per_period.join(F.broadcast(marks), KEY, "left_anti")
+    c = F.col
+    touches = c("__first").isNull() | ((c("__since") <= c("__last")) & (c("__until").isNull() | (c("__first") < c("__until"))))
+    throughout = c("__first").isNull() | ((c("__since") <= c("__first")) & (c("__until").isNull() | (c("__last") < c("__until"))))
+    spells = live.select(*[c(n).alias(f"__{n}") for n in (*KEY, "since", "until")])
+    same = (c("kind") == c("__kind")) & (c("key") == c("__key"))
+    gone = rest.join(spells, same & touches, "left_anti")
+    partly = rest.join(spells, same & touches & ~throughout, "left_semi").join(spells, same & throughout, "left_anti")
+    mixed = partly.select(*KEY, *by, "__period").join(_lists(live), KEY)
+    match = [c(n).eqNullSafe(c(f"__m_{n}")) for n in by] + [c("kind") == c("__m_kind"), c("key") == c("__m_key"), month("at").eqNullSafe(c("__m_period"))]
+    mixed = mixed.select(*[c(n).alias(f"__m_{n}") for n in (*KEY, *by)], c("__period").alias("__m_period"), "__live")
+    some = references.join(mixed, reduce(lambda a, b: a & b, match)).filter(_dead()).select(*references.columns)
+    return busy, gone, some
+
+
+def _valid(references: DataFrame) -> DataFrame:
+    return references.filter("kind is not null and key is not null")
+
+
+def orphans(references: DataFrame, targets: DataFrame, share: float = SHARE, intervals: int = INTERVALS) -> DataFrame:
+    """The rows of references (kind, key, at, ...) with no live target; all their columns are kept."""
+    refs = _valid(references)
+    busy, gone, some = _parts(refs, targets, [], share, intervals)
+    lost = gone.select(F.col("kind").alias("__kind"), F.col("key").alias("__key"), "__period")
+    whole = refs.join(lost, (F.col("kind") == F.col("__kind")) & (F.col("key") == F.col("__key")) & month("at").eqNullSafe(F.col("__period")), "left_semi")
+    return busy.unionByName(whole).unionByName(some)
+
+
+def orphan_report(references: DataFrame, targets: DataFrame, by: list[str], share: float = SHARE, intervals: int = INTERVALS) -> DataFrame:
+    """(by..., month, refs, orphans): of whole dead periods the counts are summed, their references are not read again."""
+    refs = _valid(references).distinct()
+    busy, gone, some = _parts(refs, targets, [c for c in by if c not in KEY], share, intervals)
+    text = F.date_format("__period", "yyyy-MM").alias("month")
+    lost = [d.groupBy(*by, month("at").alias("__period")).agg(F.count(F.lit(1)).alias("n")).select(*by, text, "n") for d in (busy, some)]
+    every = gone.select(*by, text, F.col("__n").alias("n")).unionByName(lost[0]).unionByName(lost[1]).select(*by, "month", F.lit(0).alias("refs"), F.col("n").alias("orphans"))
+    seen = refs.groupBy(*by, month("at").alias("__period")).agg(F.count(F.lit(1)).alias("refs")).select(*by, text, "refs", F.lit(0).alias("orphans"))
+    return seen.unionByName(every).groupBy(*by, "month").agg(F.sum("refs").alias("refs"), F.sum("orphans").alias("orphans"))
