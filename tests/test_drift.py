@@ -59,3 +59,41 @@ def test_empty_and_long(spark):
     long = [{"t": "word " * 200_000}]
     assert run(frame(spark, [("a", "p", 1, long), ("b", "p", 2, long)])) == []
     assert drift.unified(frame(spark, []), "span").columns == ["source_file", "source_line"]
+
+
+def test_long_texts_are_told_apart_by_their_words(spark):
+    old = [{"notes": f"alpha beta gamma delta number {i} " * 20, "summary": f"one two three four item {i} " * 20} for i in range(6)]
+    new = [{"summary_text": f"alpha beta gamma delta number {i} " * 20, "note_lines": f"one two three four item {i} " * 20} for i in range(6)]
+    assert run(frame(spark, [("a", "p", 1, old), ("b", "p", 2, new)])) == [("b", "renamed", "notes", "summary_text"), ("b", "renamed", "summary", "note_lines")]
+
+
+def test_content_that_differs_far_behind_the_start_and_in_many_tokens(spark):
+    head = [f"same{k}" for k in range(900)]  # more than 4,096 characters
+    tail = lambda w: [f"{w}{k}" for k in range(3000)]
+    old = [{"first": head + tail("a"), "second": head + tail("b")}]
+    new = [{"second_old": head + tail("a"), "first_old": head + tail("b")}]
+    assert run(frame(spark, [("a", "p", 1, old), ("b", "p", 2, new)])) == [("b", "renamed", "first", "second_old"), ("b", "renamed", "second", "first_old")]
+
+
+def test_unified_keeps_both_names_where_one_producer_holds_both(spark):
+    files = [("a", "p", 1, [{"color": "blue"}]), ("b", "p", 2, [{"colour": "blue"}]), ("c", "q", 1, [{"color": "blue", "colour": "red"}]), ("d", "q", 2, [{"colour": "green"}])]
+    assert sorted((r["source_file"], r["color"], r["colour"]) for r in drift.unified(frame(spark, files), "span").collect()) == [("a", None, "blue"), ("b", None, "blue"), ("c", "blue", "red"), ("d", None, "green")]
+
+
+def test_unified_follows_a_producers_own_rename_beside_a_clash(spark):
+    words = {"x": "one two", "y": "three four"}
+    # q holds both names of p's rename, then renames color itself after colour has gone
+    files = [("a", "p", 1, [{"color": words["x"]}]), ("b", "p", 2, [{"colour": words["x"]}]), ("c", "q", 1, [{"color": words["x"], "colour": words["y"]}]), ("d", "q", 2, [{"color": words["x"]}]), ("e", "q", 3, [{"colour": words["x"]}])]
+    rows = {r["source_file"]: r.asDict() for r in drift.unified(frame(spark, files), "span").collect()}
+    held = {f: {v for k, v in r.items() if v is not None and not k.startswith("source_")} for f, r in rows.items()}
+    assert held == {"a": {"one two"}, "b": {"one two"}, "c": {"one two", "three four"}, "d": {"one two"}, "e": {"one two"}}
+
+
+def test_own_names():
+    assert drift.own_names([(3, "x", "z")], {(0, "x"), (1, "z")}) == [("x", 0, 3, "z"), ("z", 3, None, "z")]
+    assert drift.own_names([(3, "x", "z")], {(0, "x"), (0, "z"), (1, "z")}) == [("x", 0, 3, "x"), ("z", 0, 3, "z"), ("z", 3, None, "z")]
+    assert drift.followed("x", 1, [(2, "x", "y"), (4, "y", "z")]) == "z" and drift.followed("x", 3, [(2, "x", "y")]) == "x"
+
+
+def test_no_producer_is_one_producer(spark):
+    assert run(frame(spark, [("a", None, 1, [{"x": 1}]), ("b", None, 2, [{"y": True}])])) == [("b", "added", "y", ""), ("b", "removed", "x", "")]
