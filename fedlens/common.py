@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -30,14 +33,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STAGED: list[str] = []  # what this process wrote below the shared folder
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session without one gets a folder of its own, gone at exit."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
         have = option.get() if option.isDefined() else None
     if not have:
-        have = "file://" + tempfile.mkdtemp(prefix="fedlens-shared-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="fedlens-shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        have = f"file://{own}"
         spark.sparkContext.setCheckpointDir(have)
     return have.rstrip("/")
 
@@ -46,10 +56,28 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Delete all that this process staged; results that were not yet read are lost. Returns how many tables that were."""
+    gone, _STAGED[:] = list(_STAGED), []
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return len(gone)
+
+
+@atexit.register
+def _clean_at_exit() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        spark = SparkSession.getActiveSession()
+        if spark is not None and _STAGED:
+            clean(spark)
+
+
 def plain(key: Column) -> Column:
     """Lower case without blanks around; blank becomes null."""
     return F.nullif(F.lower(F.btrim(key, F.lit(BLANKS))), F.lit(""))

@@ -12,7 +12,7 @@ import json
 import re
 import time
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,7 @@ from fedlens.operators import records
 #: Files every bundle has (fixed names of the bundle format).
 REQUIRED = ["run.json", "graph.json", "spans.ndjson", "events.ndjson", "metrics.ndjson", "datasets/registry.json", "datasets/lineage.json", "datasets/materializations.ndjson", "datasets/registry_updates.ndjson", "datasets/lineage_edges.ndjson"]
 LOGS = {"spans.ndjson": records.SPAN, "events.ndjson": records.EVENT, "metrics.ndjson": records.METRIC, "datasets/materializations.ndjson": records.MATERIALIZATION, "datasets/registry_updates.ndjson": records.REGISTRY, "datasets/lineage_edges.ndjson": records.LINEAGE}
-SEQ = ", log_seq bigint"
+SEQ = ", log_batch bigint, log_seq bigint"  # the append a row came with, and its place in it: Spark task << 33, then row
 MANIFEST = "path string, sha256 string, bytes bigint, required boolean"
 
 
@@ -44,6 +44,13 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line_no) of the lines of `read_ordered_lines` that are no record, blank ones left out."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    shape = T._parse_datatype_string(f"struct<{schema}, __bad string>")
+    return whole.filter("trim(line) <> ''").select("file", (F.col("pos") + 1).alias("line_no"), F.from_json("line", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})["__bad"].alias("bad")).filter("bad is not null").select("file", "line_no")
+
+
 def read_ordered_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines of foreign files whose order carries meaning: the rows with `file` and `line_no` from 1. One task reads a file."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
@@ -75,11 +82,21 @@ def manifest_problems(listed: DataFrame, found: DataFrame, required: list[str])
     return twice.unionByName(bad).unionByName(wrong).unionByName(unlisted)
 
 
+def placed(log: DataFrame) -> DataFrame:
+    """The rows of a log with their `position` from 0 in the order they were added; only one row per append and task is ordered in one place."""
+    task = F.shiftrightunsigned("log_seq", 33)
+    counts = log.groupBy("log_batch", task.alias("log_task")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("log_batch", "log_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("log_batch", "log_task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return log.withColumn("log_task", task).join(starts, ["log_batch", "log_task"]).withColumn("position", F.col("start") + F.col("log_seq").bitwiseAND(F.lit((1 << 33) - 1))).drop("log_task", "start")
+
+
 class Bundle:
     def __init__(self, spark: SparkSession, root: str, refresh: int | None = None):
         """`refresh`: rewrite the manifest after so many appends; None only when asked to."""
         self.spark, self.root, self.refresh = spark, root.rstrip("/"), refresh
         self.writes = 0
+        self._batches: dict[str, int] = {}
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -133,21 +150,29 @@ class Bundle:
         return b
 
     # logs
+    def _next_batch(self, name: str) -> int:
+        """A number above those of all earlier appends to a log, of this process or of others."""
+        if name not in self._batches:
+            self._batches[name] = self.log(name).agg(F.max("log_batch")).first()[0] or 0
+        self._batches[name] = max(self._batches[name] + 1, time.time_ns())
+        return self._batches[name]
+
     def append(self, name: str, rows: DataFrame | list[dict]) -> None:
-        """Add rows to a log, numbered on from its last; rows out of bounds fail before anything is written."""
+        """Add rows to a log, after all that were there before; rows out of bounds fail before anything is written."""
         schema = LOGS[name] + SEQ
+        batch = self._next_batch(name)
         if isinstance(rows, list):
-            start = time.time_ns()
             full = T._parse_datatype_string(schema)
-            rows = self.spark.createDataFrame([{**{f: None for f in full.names}, **r, "log_seq": start + i} for i, r in enumerate(rows)], full)
-        elif "log_seq" not in rows.columns:
-            rows = rows.withColumn("log_seq", F.lit(time.time_ns()) + F.monotonically_increasing_id())
+            rows = self.spark.createDataFrame([{**{f: None for f in full.names}, **r, "log_batch": batch, "log_seq": i} for i, r in enumerate(rows)], full)
+        else:
+            rows = rows.withColumns({"log_batch": F.lit(batch), "log_seq": F.monotonically_increasing_id()})
         kind = {"spans.ndjson": "span", "events.ndjson": "event", "metrics.ndjson": "metric"}.get(name)
         if kind:
             first = rows.select(records.record_error(kind).alias("e")).filter("e is not null").first()
             if first:
                 raise StoreError(first["e"])
-        rows.write.mode("append").option("ignoreNullFields", True).json(f"{self.root}/{name}")
+        empty = [F.when(F.size(f.name) > 0, F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.ArrayType | T.MapType) else F.col(f.name) for f in rows.schema.fields]
+        rows.select(*empty).write.mode("append").option("ignoreNullFields", True).json(f"{self.root}/{name}")
         self.writes += 1
         if self.refresh is not None and self.writes % max(1, self.refresh) == 0:
             self.finalize()
@@ -196,16 +221,16 @@ class Bundle:
     def _with_snapshot(self, name: str, field: str, schema: str, log: str) -> DataFrame:
         rows = [] if self.snapshot_warning() else self.read(f"datasets/{name}.json")[field]
         full = T._parse_datatype_string(schema)
-        old = self.spark.createDataFrame([{f: r.get(f) for f in full.names} for r in rows], full).withColumn("log_seq", F.lit(-1).cast("long"))
+        old = self.spark.createDataFrame([{f: r.get(f) for f in full.names} for r in rows], full).withColumns({"log_batch": F.lit(-1).cast("long"), "log_seq": F.lit(-1).cast("long")})
         return old.unionByName(self.log(log))
 
     def registry(self) -> DataFrame:
         every = self._with_snapshot("registry", "datasets", records.REGISTRY, "datasets/registry_updates.ndjson")
-        return records.latest(every, ["asset_key"], ["log_seq"]).drop("log_seq").orderBy("asset_key")
+        return records.latest(every, ["asset_key"], ["log_batch", "log_seq"]).drop("log_batch", "log_seq").orderBy("asset_key")
 
     def lineage(self) -> DataFrame:
-        return records.lineage_edges(self._with_snapshot("lineage", "edges", records.LINEAGE, "datasets/lineage_edges.ndjson").drop("log_seq"))
+        return records.lineage_edges(self._with_snapshot("lineage", "edges", records.LINEAGE, "datasets/lineage_edges.ndjson").drop("log_batch", "log_seq"))
 
     def materializations(self) -> DataFrame:
         """All materialisations as V2, in order of ts_unix_nanos and record_seq."""
-        return records.to_v2(self.log("datasets/materializations.ndjson"), F.col("log_seq")).orderBy("ts_unix_nanos", "record_seq")
+        return records.to_v2(placed(self.log("datasets/materializations.ndjson")), F.col("position")).orderBy("ts_unix_nanos", "record_seq")
