@@ -19,13 +19,14 @@ all of sender, sequence, second and order are one receipt; other columns may hol
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fedlens.common import BLANKS, sender_form, whole_seconds
+from fedlens.common import BLANKS, sender_form, staged, whole_seconds
 
 BLOCK = 1 << 12
 
@@ -40,8 +41,13 @@ class Seen:
 
 @dataclass
 class Received:
-    surplus: DataFrame  #: kept, surplus, sender, number, second
     seen: Seen  #: what this and all earlier batches saw
+    find: Callable[[], DataFrame]
+
+    @cached_property
+    def surplus(self) -> DataFrame:
+        """kept, surplus, sender, number, second"""
+        return self.find()
 
     def accepted(self, batch: DataFrame, order: str = "arrival") -> DataFrame:
         """`batch` without its surplus receipts."""
@@ -107,28 +113,27 @@ def receive(batch: DataFrame, seen: Seen | None = None, sender: str = "sender",
     key = ["sender", "number"]
     rows = identified(batch, sender, sequence, ts, order)
     numbers = rows.groupBy(*key).agg(F.min("at").alias("first"), F.min_by("second", "at").alias("first_second"), F.count(F.lit(1)).alias("n"))
-    if seen is not None:
-        numbers = tested(numbers, seen.ranges)
-        back = rows.join(numbers.filter("n > 1 or covered").drop("n"), key).filter("covered or at > first")
+    numbers = numbers.withColumn("covered", F.lit(False)) if seen is None else tested(numbers, seen.ranges)
+
+    def find() -> DataFrame:
+        back = staged(rows.join(numbers.filter("n > 1 or covered").drop("n"), key).filter("covered or at > first"), "receipts-repeated")
         again, inside = back.filter("not covered"), back.filter("covered").select(*key, "second", "at")
-    else:
-        again = rows.join(numbers.filter("n > 1").drop("n"), key).filter("at > first")
-    plain = again.filter("second = first_second").select(*key, "second", "at", F.col("first").alias("kept"))
-    odd = again.filter("second <> first_second").select(*key, "second", "at")
-    if seen is not None:
-        asked = inside.select(*key, "second").distinct()
-        earlier = seen.history.join(asked, [*key, "second"], "left_semi").groupBy(*key, "second").agg(F.min("at").alias("kept"))
-        known = inside.join(earlier, [*key, "second"], "left")
-        plain = plain.unionByName(known.filter("kept is not null"))
-        odd = odd.unionByName(known.filter("kept is null").drop("kept"))
-    lookup = odd.groupBy(*key, "second").agg(F.min("at").alias("kept"))
-    surplus = plain.unionByName(odd.join(lookup, [*key, "second"]).filter("at > kept"))
-    fresh = numbers if seen is None else numbers.filter("not covered")
-    ranges = fresh.select("sender", block_of(F.col("number")).alias("block"), F.col("number").alias("lo"), F.col("number").alias("hi"))
-    found = surplus.select("kept", F.col("at").alias("surplus"), unpacked(F.col("sender")).alias("sender"), "number", "second")
+        plain = again.filter("second = first_second").select(*key, "second", "at", F.col("first").alias("kept"))
+        odd = again.filter("second <> first_second").select(*key, "second", "at")
+        if seen is not None:
+            asked = inside.select(*key, "second").distinct()
+            earlier = seen.history.join(asked, [*key, "second"], "left_semi").groupBy(*key, "second").agg(F.min("at").alias("kept"))
+            known = staged(inside.join(earlier, [*key, "second"], "left"), "receipts-known")
+            plain = plain.unionByName(known.filter("kept is not null"))
+            odd = odd.unionByName(known.filter("kept is null").drop("kept"))
+        lookup = odd.groupBy(*key, "second").agg(F.min("at").alias("kept"))
+        surplus = plain.unionByName(odd.join(lookup, [*key, "second"]).filter("at > kept"))
+        return surplus.select("kept", F.col("at").alias("surplus"), unpacked(F.col("sender")).alias("sender"), "number", "second")
+
+    ranges = numbers.filter("not covered").select("sender", block_of(F.col("number")).alias("block"), F.col("number").alias("lo"), F.col("number").alias("hi"))
     if seen is None:
-        return Received(found, Seen(merged_ranges(ranges), rows))
-    return Received(found, Seen(merged_ranges(seen.ranges.unionByName(ranges)), seen.history.unionByName(rows)))
+        return Received(Seen(merged_ranges(ranges), rows), find)
+    return Received(Seen(merged_ranges(seen.ranges.unionByName(ranges)), seen.history.unionByName(rows)), find)
 
 
 def receive_in_turn(messages: DataFrame, slices: int = 2, order: str = "arrival", **columns: str) -> Received:
@@ -140,9 +145,9 @@ def receive_in_turn(messages: DataFrame, slices: int = 2, order: str = "arrival"
     for lo, hi in zip(edges, edges[1:], strict=False):
         inside = F.lit(True) if lo is None else at > lo
         got = receive(messages.filter(inside if hi is None else inside & (at <= hi)), seen, order=order, **columns)
-        found.append(got.surplus)
+        found.append(got.find)
         seen = got.seen
-    return Received(reduce(DataFrame.unionByName, found), seen)
+    return Received(seen, lambda: reduce(DataFrame.unionByName, [find() for find in found]))
 
 
 def missing_numbers(ranges: DataFrame) -> DataFrame:
