@@ -19,6 +19,7 @@ depth and path, and the loop's smallest id as `cycle`; `loose` is 1 for them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,7 +73,7 @@ def smallest_on_loops(up: np.ndarray, landed: np.ndarray, rank: np.ndarray, wide
     return out
 
 
-def resolve(entity: np.ndarray, node: np.ndarray, parent: np.ndarray, paths: bool) -> pd.DataFrame:
+def resolve(entity: np.ndarray, node: np.ndarray, parent: np.ndarray, between: str | None) -> pd.DataFrame:
     """Hierarchy of whole groups; rows may repeat. `entity` must be sorted."""
     group = np.concatenate([[0], np.cumsum(entity[1:] != entity[:-1])]) if len(entity) else np.zeros(0, dtype=np.int64)
     both, names = pd.factorize(np.concatenate([node, parent]), sort=True, use_na_sentinel=True)
@@ -90,23 +91,23 @@ def resolve(entity: np.ndarray, node: np.ndarray, parent: np.ndarray, paths: boo
     pick = lambda i: np.where(i >= 0, name[np.maximum(i, 0)], None) if len(name) else name
     out = pd.DataFrame({"entity": entity[first], "node": name, "parent": pick(up), "root": pick(root), "depth": pd.array(np.where(depth < 0, 0, depth), dtype="Int64"), "cycle": pick(low)})
     out.loc[depth < 0, "depth"] = pd.NA
-    out["path"] = joined_paths(name, up, depth) if paths else None
+    out["path"] = joined_paths(name, up, depth, between) if between is not None else None
     return out
 
 
-def joined_paths(name: np.ndarray, up: np.ndarray, depth: np.ndarray) -> np.ndarray:
+def joined_paths(name: np.ndarray, up: np.ndarray, depth: np.ndarray, between: str = "/") -> np.ndarray:
     """Path from the root, by doubling: a segment of 2^k names grows by the segment of the node above it."""
     segment, at = name.astype(object).copy(), up.copy()
     live = np.flatnonzero((at >= 0) & (depth >= 0))
     while len(live):
         via = at[live]
-        grown = segment[via] + "/" + segment[live]
+        grown = segment[via] + between + segment[live]
         segment[live], at[live] = grown, at[via]
         live = live[at[live] >= 0]
     return np.where(depth >= 0, segment, None)
 
 
-def _chunks(paths: bool):
+def _chunks(between: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = pa.schema([("entity", pa.string()), ("node", pa.string()), ("parent", pa.string()), ("root", pa.string()), ("depth", pa.int64()), ("cycle", pa.string()), ("path", pa.string())])
 
@@ -114,7 +115,7 @@ def _chunks(paths: bool):
             if held:
                 t = pa.concat_tables(held)
                 e, n, p = (t.column(c).to_numpy() for c in ("entity", "node", "parent"))
-                yield from pa.Table.from_pandas(resolve(e, n, p, paths), schema=target, preserve_index=False).to_batches(20_000)
+                yield from pa.Table.from_pandas(resolve(e, n, p, between), schema=target, preserve_index=False).to_batches(20_000)
 
         held, size = [], 0
         for b in batches:
@@ -136,26 +137,27 @@ def _chunks(paths: bool):
     return run
 
 
-def hierarchy(df: DataFrame, entity: Column, node: Column, parent: Column, paths: bool = True, hot: int = HOT) -> DataFrame:
-    """(entity, node, parent, root, depth, cycle, path) for every node; `path` is null unless `paths`."""
+def hierarchy(df: DataFrame, entity: Column, node: Column, parent: Column, paths: bool = True, hot: int = HOT, between: str = "/") -> DataFrame:
+    """(entity, node, parent, root, depth, cycle, path) for every node; `path`, ids with `between` between them, is null unless `paths`."""
+    joint = between if paths else None
     links = df.select(entity.cast("string").alias("entity"), node.cast("string").alias("node"), parent.cast("string").alias("parent")).filter("entity is not null and node is not null")
     busy = links.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("entity")
     if busy.isEmpty():
-        return by_group(links, paths)
+        return by_group(links, joint)
     small, large = links.join(busy, "entity", "left_anti"), links.join(busy, "entity", "left_semi")
-    return by_group(small, paths).unionByName(by_joins(large, paths))
+    return by_group(small, joint).unionByName(by_joins(large, joint))
 
 
-def by_group(links: DataFrame, paths: bool) -> DataFrame:
-    return links.repartition("entity").sortWithinPartitions("entity").mapInArrow(_chunks(paths), SCHEMA)
+def by_group(links: DataFrame, between: str | None = "/") -> DataFrame:
+    return links.repartition("entity").sortWithinPartitions("entity").mapInArrow(_chunks(between), SCHEMA)
 
 
-def by_joins(links: DataFrame, paths: bool) -> DataFrame:
+def by_joins(links: DataFrame, between: str | None = "/") -> DataFrame:
     """The same result by joins between rounds, for groups of any size."""
     nodes = links.groupBy("entity", "node").agg(F.min("parent").alias("parent"))
     ids = nodes.select("entity", F.col("node").alias("parent"), F.lit(True).alias("known"))
     linked = nodes.join(ids, ["entity", "parent"], "left").select("entity", "node", F.when(F.col("known"), F.col("parent")).alias("parent"))
-    segment = F.col("node") if paths else F.lit(None).cast("string")
+    segment = F.col("node") if between is not None else F.lit(None).cast("string")
     table = staged(linked.select("entity", "node", "parent", F.coalesce("parent", "node").alias("at"), F.col("parent").isNotNull().cast("long").alias("depth"), F.col("parent").isNull().alias("done"), F.col("node").alias("low"), segment.alias("path")), "hierarchy-0")
     limit = int(table.groupBy("entity").count().agg(F.max("count")).first()[0] or 0).bit_length() + 1
     settled = table.filter("done")
@@ -167,7 +169,7 @@ def by_joins(links: DataFrame, paths: bool) -> DataFrame:
         ahead = everything.select("entity", F.col("node").alias("at"), F.col("at").alias("a_at"), F.col("depth").alias("a_depth"), F.col("done").alias("a_done"), F.col("low").alias("a_low"), F.col("path").alias("a_path"))
         moved = live.join(ahead, ["entity", "at"]).select(
             "entity", "node", "parent", F.col("a_at").alias("at"), (F.col("depth") + F.col("a_depth")).alias("depth"), F.col("a_done").alias("done"), F.least("low", "a_low").alias("low"),
-            (F.concat("a_path", F.lit("/"), "path") if paths else F.col("path")).alias("path"),
+            (F.concat("a_path", F.lit(between), "path") if between is not None else F.col("path")).alias("path"),
         )
         moved = staged(moved, f"hierarchy-{rounds}")
         settled = settled.unionByName(moved.filter("done"))
@@ -180,18 +182,18 @@ def by_joins(links: DataFrame, paths: bool) -> DataFrame:
     return good.unionByName(lost)
 
 
-def descendants(resolved: DataFrame, *also: str) -> DataFrame:
-    """(entity, ancestor, node, distance, *also) for every node below another, from the paths of `hierarchy`; ids must not hold '/'.
+def descendants(resolved: DataFrame, *also: str, between: str = "/") -> DataFrame:
+    """(entity, ancestor, node, distance, *also) for every node below another, from the paths of `hierarchy` with the same `between`, which no id may hold.
 
     Nodes on or below loops have no path and so no rows, unless `resolved` comes from `loops_cut`.
     """
-    steps = resolved.filter("depth > 0").select("entity", "node", "depth", *also, F.posexplode(F.split("path", "/")).alias("pos", "ancestor"))
+    steps = resolved.filter("depth > 0").select("entity", "node", "depth", *also, F.posexplode(F.split("path", re.escape(between))).alias("pos", "ancestor"))
     return steps.filter("pos < depth").select("entity", "ancestor", "node", (F.col("depth") - F.col("pos")).alias("distance"), *also)
 
 
-def loops_cut(resolved: DataFrame, hot: int = HOT) -> DataFrame:
+def loops_cut(resolved: DataFrame, hot: int = HOT, between: str = "/") -> DataFrame:
     """(entity, node, depth, cycle, path) of `hierarchy`, with each loop cut above the node that names it, from which depth and path are counted."""
     caught = staged(resolved.filter("cycle is not null").select("entity", "node", "parent", "cycle"), "loops")
-    cut = hierarchy(caught, F.col("entity"), F.col("node"), F.when(F.col("node") != F.col("cycle"), F.col("parent")), hot=hot)
+    cut = hierarchy(caught, F.col("entity"), F.col("node"), F.when(F.col("node") != F.col("cycle"), F.col("parent")), hot=hot, between=between)
     trees = resolved.filter("cycle is null").select("entity", "node", "depth", "cycle", "path")
     return trees.unionByName(cut.select("entity", "node", "depth", F.col("root").alias("cycle"), "path"))

@@ -5,9 +5,10 @@ entity's instants is the number of intervals open. A period runs from an instant
 the next where it returns, a gap from there to the entity's next instant.
 
 Scale: boundaries are summed per (entity, instant) before the shuffle, so repeated rows collapse in the map
-tasks and instants whose changes cancel are dropped. An entity with more than `HOT` distinct boundaries is
-cut into stretches of its own time range; sums per stretch give each stretch the count it starts with and
-the instant that follows it, so no entity is ever one task's work.
+tasks and instants whose changes cancel are dropped. An entity with more than `HOT` boundaries is cut into
+stretches between approximate quantiles of its own instants, so that far-off instants don't matter; sums per
+stretch give each stretch the count it starts with and the instant that follows it, so no entity is ever one
+task's work.
 
 Defined results: an interval without entity, start or end, or whose end is not after its start, does not
 count; intervals that touch leave no gap; an empty table gives no rows.
@@ -18,7 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT = 200_000
+from fedlens.common import staged
+
+HOT, MOST_PIECES = 200_000, 1000
 
 
 def boundaries(df: DataFrame, entity: Column, start: Column, end: Column) -> DataFrame:
@@ -31,14 +34,17 @@ def boundaries(df: DataFrame, entity: Column, start: Column, end: Column) -> Dat
 def swept(df: DataFrame, entity: Column, start: Column, end: Column, hot: int = HOT) -> tuple[DataFrame, bool]:
     """(entity, piece, at, step, active, next_at): the open count from each boundary on and the boundary after it; whether any entity is in pieces."""
     rows = df.select(entity.alias("entity"), start.alias("s"), end.alias("e")).filter("entity is not null and e > s")
-    sizes = rows.groupBy("entity").agg((2 * F.count(F.lit(1))).alias("n"), F.min("s").alias("lo"), F.max("e").alias("hi"))
-    busy = sizes.filter(F.col("n") > hot).select("entity", "lo", F.ceil((F.col("hi") - F.col("lo") + 1) / F.ceil(F.col("n") / F.lit(hot))).alias("width"))
+    busy = rows.groupBy("entity").agg((2 * F.count(F.lit(1))).alias("n")).filter(F.col("n") > hot)
     events = boundaries(df, entity, start, end)
     w = Window.partitionBy("entity", "piece").orderBy("at")
-    if busy.isEmpty():
+    largest = busy.agg(F.max("n")).first()[0]
+    if largest is None:
         whole = Window.partitionBy("entity").orderBy("at")
         return events.select("entity", F.lit(0).cast("long").alias("piece"), "at", "step", F.sum("step").over(whole).alias("active"), F.lead("at").over(whole).alias("next_at")), False
-    cut = events.join(busy, "entity", "left").select("entity", F.coalesce(F.floor((F.col("at") - F.col("lo")) / F.col("width")), F.lit(0)).alias("piece"), "at", "step")
+    parts = min(MOST_PIECES, -(-2 * largest // hot))
+    bounds = rows.join(busy, "entity").groupBy("entity").agg(F.percentile_approx("s", [k / parts for k in range(1, parts)], 10 * parts).alias("bounds"))
+    busy = staged(bounds, "intervals-bounds")
+    cut = events.join(busy, "entity", "left").select("entity", F.coalesce(F.size(F.filter("bounds", lambda b: b < F.col("at"))), F.lit(0)).cast("long").alias("piece"), "at", "step")
     sums = cut.join(busy.select("entity"), "entity", "left_semi").groupBy("entity", "piece").agg(F.sum("step").alias("sum"), F.min("at").alias("first"))
     over = Window.partitionBy("entity").orderBy("piece")
     heads = sums.select("entity", "piece", F.sum("sum").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.lead("first").over(over).alias("after"))

@@ -14,13 +14,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_DIM, KRUM_PEERS = 10_000_000, 50
 MAX_VALUE, MAX_NORM = 10.0, 100.0
 TRIM, TRIM_MOST = 0.2, 0.49
+BLOCK = 1024  # vectors of a round compared in one task with as many others
+PAIR = pa.schema([("round", pa.int64()), ("sender", pa.int64()), ("other", pa.int64()), ("distance", pa.float64())])
+SCORE = pa.schema([("round", pa.int64()), ("sender", pa.int64()), ("sum", pa.float64()), ("tops", pa.list_(pa.float64()))])
 HOT = 1_000_000  # vectors of a round above which its coordinates are spread over several tasks
 
 
@@ -101,27 +106,104 @@ def trimmed_mean(df: DataFrame, round_col: str, sender: str, vec: str, ratio: fl
     return out if large is None else out.unionByName(middle_mean(long_form(large, round_col, sender, vec), lambda n: trim_count(n, ratio), hot))
 
 
-def krum(df: DataFrame, round_col: str, sender: str, vec: str, faulty: int = 1, selected: int = 1, max_peers: int = KRUM_PEERS) -> DataFrame:
+def _round_vectors(df: DataFrame, round_col: str, sender: str, vec: str) -> DataFrame:
+    return df.select(F.col(round_col).cast("long").alias("round"), F.col(sender).cast("long").alias("sender"), F.col(vec).cast("array<double>").alias("v"))
+
+
+def distance_blocks(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances (x, y), summed from differences so that huge values don't cancel small ones."""
+    return np.stack([((y - row) ** 2).sum(1) for row in x]) if len(x) else np.zeros((0, len(y)))
+
+
+def _blocked(rows: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """(round, n, a, b, left, sender, v): every vector once as a left row for each block of its round, and once as a right row for each.
+
+    A round of n vectors has n / block blocks, so n / block copies of each vector meet in tasks of two blocks.
+    """
+    placed = rows.join(sizes.select("round", "n"), "round").withColumn("blocks", F.ceil(F.col("n") / F.lit(block)))
+    own = placed.withColumn("own", F.pmod(F.xxhash64("round", "sender"), F.col("blocks")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = own.select("round", "n", F.col("own").alias("a"), every.alias("b"), F.lit(True).alias("left"), "sender", "v")
+    right = own.select("round", "n", every.alias("a"), F.col("own").alias("b"), F.lit(False).alias("left"), "sender", "v")
+    return left.unionByName(right)
+
+
+def pairwise_distances(df: DataFrame, round_col: str, sender: str, vec: str, block: int = BLOCK) -> DataFrame:
+    """(round, sender, other, distance): squared distances of all pairs of a round, sender before other; blocks of a round in tasks of their own."""
+    rows = _round_vectors(df, round_col, sender, vec)
+    sizes = rows.groupBy("round").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")).filter("low = high and low > 0")
+
+    def pairs(_: tuple, t: pa.Table) -> pa.Table:
+        left = t.column("left").to_numpy(zero_copy_only=False)
+        names = t.column("sender").to_numpy()
+        v = np.stack(t.column("v").to_pylist())
+        if not left.any() or left.all():
+            return PAIR.empty_table()
+        i, j = np.nonzero(names[left][:, None] < names[~left][None, :])
+        d = distance_blocks(v[left], v[~left])[i, j]
+        return pa.table({"round": np.full(len(d), t.column("round")[0].as_py()), "sender": names[left][i], "other": names[~left][j], "distance": d}, schema=PAIR)
+
+    return _blocked(rows, sizes, block).groupBy("round", "a", "b").applyInArrow(pairs, "round long, sender long, other long, distance double")
+
+
+def krum_scores(rows: DataFrame, sizes: DataFrame, faulty: int, block: int) -> DataFrame:
+    """(round, sender, score) of rounds of any size: the sum of a vector's n - faulty - 2 least distances to others.
+
+    Each pair of blocks gives, per left vector, the sum of its distances to the right block without the faulty + 1
+    largest, and these apart; over all blocks the faulty + 1 largest of those are left out and the others added.
+    Only those lists are gathered per vector, never its distances.
+    """
+    aside = faulty + 1
+
+    def part(_: tuple, t: pa.Table) -> pa.Table:
+        left = t.column("left").to_numpy(zero_copy_only=False)
+        names = t.column("sender").to_numpy()
+        v = np.stack(t.column("v").to_pylist())
+        if not left.any() or left.all():
+            return SCORE.empty_table()
+        d = distance_blocks(v[left], v[~left])
+        same = names[left][:, None] == names[~left][None, :]
+        d[same] = np.inf  # a vector is not its own neighbour; the padding is cut off below
+        d = np.sort(d, axis=1)
+        real = d.shape[1] - same.sum(1)
+        cut = np.maximum(0, real - aside)
+        sums = np.array([row[:c].sum() for row, c in zip(d, cut, strict=True)])
+        tops = [row[c:r].tolist() for row, c, r in zip(d, cut, real, strict=True)]
+        return pa.table({"round": np.full(len(d), t.column("round")[0].as_py()), "sender": names[left], "sum": sums, "tops": pa.array(tops, pa.list_(pa.float64()))}, schema=SCORE)
+
+    parts = _blocked(rows, sizes, block).groupBy("round", "a", "b").applyInArrow(part, "round long, sender long, sum double, tops array<double>")
+    merged = parts.groupBy("round", "sender").agg(F.sum("sum").alias("sum"), F.array_sort(F.flatten(F.collect_list("tops"))).alias("tops"))
+    kept = F.slice("tops", 1, F.greatest(F.lit(0), F.size("tops") - aside))
+    return merged.select("round", "sender", (F.col("sum") + F.aggregate(kept, F.lit(0.0), lambda s, x: s + x)).alias("score"))
+
+
+def krum(df: DataFrame, round_col: str, sender: str, vec: str, faulty: int = 1, selected: int = 1, max_peers: int = KRUM_PEERS, block: int = BLOCK) -> DataFrame:
     """(round, sender, score, place): per round the `selected` vectors nearest their n - faulty - 2 neighbours.
 
-    Distances of a round are one matrix product inside a task, so no pair ever becomes a row. A round of more
-    than `max_peers` vectors, or fewer than 2 * faulty + 3, is not gathered at all and gives no row.
+    A round of up to `block` vectors is one matrix inside a task, a larger one is spread over pairs of blocks, so
+    no pair ever becomes a row. A round of more than `max_peers` vectors, or fewer than 2 * faulty + 3, gives no row.
+    Senders name the vectors of a round and must not repeat in it.
     """
-    rows = df.select(F.col(round_col).cast("long").alias("round"), F.col(sender).cast("long").alias("sender"), F.col(vec).cast("array<double>").alias("v"))
+    rows = _round_vectors(df, round_col, sender, vec)
     sizes = rows.groupBy("round").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high"))
-    good = sizes.filter(F.col("n").between(2 * faulty + 3, max_peers) & (F.col("low") == F.col("high")) & (F.col("low") > 0)).select("round")
+    good = sizes.filter(F.col("n").between(2 * faulty + 3, max_peers) & (F.col("low") == F.col("high")) & (F.col("low") > 0))
 
     def pick(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("sender")
         names = t.column("sender").to_numpy()
         x = np.stack(t.column("v").to_pylist())
-        d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2) if x.size * len(x) < 5_000_000 else np.stack([((x - row) ** 2).sum(1) for row in x])
+        d = distance_blocks(x, x)
         np.fill_diagonal(d, np.inf)
         score = np.sort(d, axis=1)[:, : len(x) - faulty - 2].sum(1)
         order = np.argsort(score, kind="stable")[:selected]
         return pa.table({"round": np.full(len(order), key[0].as_py()), "sender": names[order], "score": score[order], "place": np.arange(1, len(order) + 1)})
 
-    return rows.join(good, "round", "left_semi").groupBy("round").applyInArrow(pick, "round long, sender long, score double, place long")
+    small = rows.join(good.filter(F.col("n") <= block).select("round"), "round", "left_semi").groupBy("round").applyInArrow(pick, "round long, sender long, score double, place long")
+    if max_peers <= block:
+        return small
+    w = Window.partitionBy("round").orderBy("score", "sender")
+    ranked = krum_scores(rows, good.filter(F.col("n") > block), faulty, block).withColumn("place", F.row_number().over(w).cast("long"))
+    return small.unionByName(ranked.filter(F.col("place") <= selected))
 
 
 def multi_krum(df: DataFrame, round_col: str, sender: str, vec: str, faulty: int, selected: int, max_peers: int = KRUM_PEERS) -> DataFrame:
@@ -201,6 +283,35 @@ def random_sparse(vec: Column, seed: Column, share: float) -> Column:
     return kept
 
 
+def top_k_quantized(vec: Column, ratio: float, scale: float) -> Column:
+    """Array of (i, q): the values `top_k` keeps, as signed bytes."""
+    return F.transform(top_k(vec, ratio), lambda p: F.struct(p["i"].alias("i"), quantized(p["value"], scale).alias("q")))
+
+
+@F.pandas_udf(T.BinaryType())
+def dense_bytes(vec: pd.Series) -> pd.Series:
+    """The values as 32-bit floats, little end first, without a header."""
+    return vec.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def from_dense_bytes(data: pd.Series) -> pd.Series:
+    """The values of `dense_bytes`; null where the length is no multiple of four."""
+    return data.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, dtype="<f4"))
+
+
+def compressed_size(vec: Column, how: str, ratio: float = 1.0) -> Column:
+    """Bytes of a vector: dense 4 each, top_k and random_sparse 8 per pair, int8 1 each, top_k_int8 5 per pair."""
+    n = F.size(vec)
+    kept = kept_count(n, ratio)
+    return {"dense": n * 4, "top_k": kept * 8, "random_sparse": kept * 8, "int8": n, "top_k_int8": kept * 5}[how].cast("long")
+
+
+def compression_ratio(vec: Column, how: str, ratio: float = 1.0) -> Column:
+    """Dense bytes over compressed bytes; 1 for an empty vector."""
+    return F.when(F.size(vec) == 0, F.lit(1.0)).otherwise(F.size(vec) * 4.0 / compressed_size(vec, how, ratio))
+
+
 def norm(vec: Column) -> Column:
     return F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
@@ -184,8 +185,8 @@ def contract(declared: DataFrame, given: DataFrame, by: str) -> DataFrame:
     return both.select(by, "asset_key", F.when(F.col("times").isNull(), "missing_output").when(F.col("declared").isNull(), "undeclared_output").when(F.col("times") > 1, "duplicate_output").alias("problem")).filter("problem is not null")
 
 
-def levels(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
-    """(node_id, level): the longest way from a node without edges into it; nodes on or behind a loop, and ways above `most`, are absent.
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, level): the longest way from a node without edges into it; nodes on or behind a loop are absent.
 
     One step of all graphs at once per round, each written to the shared folder; rounds end with the deepest graph.
     """
@@ -194,13 +195,15 @@ def levels(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
     links = edges.select("from_node_id", "to_node_id").distinct()
     waits = links.groupBy("to_node_id").agg(F.count(F.lit(1)).alias("need"))
     done = staged(nodes.select("node_id").distinct().join(waits, nodes.node_id == waits.to_node_id, "left_anti").select("node_id", F.lit(0).alias("level")), "levels-0")
-    for step in range(1, most + 1):
+    for step in itertools.count(1):  # ends with the deepest graph: each round has other nodes
         seen = links.join(done, links.from_node_id == done.node_id).groupBy("to_node_id").agg(F.count(F.lit(1)).alias("have"))
         ready = seen.join(waits, "to_node_id").filter("have = need").select(F.col("to_node_id").alias("node_id")).join(done, "node_id", "left_anti").withColumn("level", F.lit(step))
         ready = staged(ready, f"levels-{step}")
         if ready.isEmpty():
             break
         done = done.unionByName(ready)
+        if step % 16 == 0:
+            done = staged(done, f"levels-to-{step}")
     return done
 
 

@@ -52,6 +52,9 @@ def p3_manifests(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified(table(spark, d, "raw_records"), "manifest")
 
 
+UNIT = "\x1f"  # the separator of units, which ids don't hold
+
+
 def _span_links(spark: SparkSession, d: str):
     parent = plain(F.col("parent_span_id"))
     return table(spark, d, "spans").select("trace_id", "span_id", "parent_span_id"), plain(F.col("trace_id")), plain(F.col("span_id")), F.when(~parent.rlike("^0+$"), parent)
@@ -68,13 +71,13 @@ def p5_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
-    below = tree.descendants(tree.hierarchy(*_span_links(spark, d)))
+    below = tree.descendants(tree.hierarchy(*_span_links(spark, d), between=UNIT), between=UNIT)
     return below.select(F.col("entity").alias("trace_id"), F.col("ancestor").alias("ancestor_span_id"), F.col("node").alias("span_id"), F.col("distance").cast("long").alias("distance"))
 
 
 def p5_all_descendants(spark: SparkSession, d: str) -> DataFrame:
     """p5_descendants and the same for spans on or below a loop, which is named and cut above the span that names it."""
-    below = tree.descendants(tree.loops_cut(tree.hierarchy(*_span_links(spark, d))), "cycle")
+    below = tree.descendants(tree.loops_cut(tree.hierarchy(*_span_links(spark, d), between=UNIT), between=UNIT), "cycle", between=UNIT)
     return below.select(F.col("entity").alias("trace_id"), F.col("ancestor").alias("ancestor_span_id"), F.col("node").alias("span_id"), F.col("distance").cast("long").alias("distance"), F.col("cycle").alias("cycle_span_id"))
 
 

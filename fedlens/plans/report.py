@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import json
 import sys
 from dataclasses import dataclass
 from html import escape
+from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,11 +58,15 @@ def load(spark: SparkSession, run_dir: str) -> Run:
     return Run(b.read("run.json")["run_id"], b.read("graph.json"), registry, b.lineage(), b.materializations(), b.log("spans.ndjson"), b.log("events.ndjson"), b.log("metrics.ndjson"), warnings)
 
 
-def _table(title: str, df: DataFrame, columns: list[str]) -> str:
-    rows = df.select(*[F.col(c).cast("string") for c in columns]).collect()  # metadata of one run
+SHOWN = 10_000  # rows of a table that a page shows; the JSON has them all
+
+
+def _table(title: str, df: DataFrame, columns: list[str], most: int = SHOWN) -> str:
+    rows = df.select(*[F.col(c).cast("string") for c in columns]).limit(most + 1).collect()
+    note = f"<p>The first {most} of {df.count()} rows.</p>" if len(rows) > most else ""
     head = "".join(f"<th>{escape(c)}</th>" for c in columns)
-    body = "".join("<tr>" + "".join(f"<td>{escape('?' if v is None else v)}</td>" for v in r) + "</tr>" for r in rows)
-    return f"<h2>{escape(title)}</h2><table><tr>{head}</tr>{body}</table>"
+    body = "".join("<tr>" + "".join(f"<td>{escape('?' if v is None else v)}</td>" for v in r) + "</tr>" for r in rows[:most])
+    return f"<h2>{escape(title)}</h2>{note}<table><tr>{head}</tr>{body}</table>"
 
 
 def svg(graph: dict) -> str:
@@ -84,9 +90,26 @@ def html(run: Run) -> str:
     )
 
 
+SECTIONS = ("registry", "lineage", "materializations", "spans", "events", "metrics")
+
+
+def write_json(run: Run, out: TextIO) -> None:
+    """The whole run as one JSON object; its records pass through a part at a time."""
+    out.write(json.dumps({"run_id": run.run_id, "graph": run.graph, "warnings": run.warnings})[:-1])
+    for name in SECTIONS:
+        df = getattr(run, name)
+        out.write(f', "{name}": [')
+        for i, r in enumerate(df.select(F.to_json(F.struct(*df.columns))).toLocalIterator()):
+            out.write((", " if i else "") + r[0])
+        out.write("]")
+    out.write("}")
+
+
 def as_json(run: Run) -> dict:
-    rows = lambda df: [json.loads(r[0]) for r in df.select(F.to_json(F.struct(*df.columns))).collect()]
-    return {"run_id": run.run_id, "graph": run.graph, "warnings": run.warnings, **{k: rows(getattr(run, k)) for k in ("registry", "lineage", "materializations", "spans", "events", "metrics")}}
+    """The same as a value, for runs that fit the driver."""
+    out = io.StringIO()
+    write_json(run, out)
+    return json.loads(out.getvalue())
 
 
 def main(args: list[str]) -> int:
@@ -100,7 +123,7 @@ def main(args: list[str]) -> int:
         f.write(html(run))
     if "--json-out" in args:
         with open(args[args.index("--json-out") + 1], "w") as f:
-            json.dump(as_json(run), f, indent=2)
+            write_json(run, f)
     return 0
 
 

@@ -8,20 +8,27 @@ storage the cluster shares.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import os
 import re
 import time
+from collections.abc import Iterable, Iterator
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fedlens.common import staged
 from fedlens.operators import records
 
 #: Files every bundle has (fixed names of the bundle format).
 REQUIRED = ["run.json", "graph.json", "spans.ndjson", "events.ndjson", "metrics.ndjson", "datasets/registry.json", "datasets/lineage.json", "datasets/materializations.ndjson", "datasets/registry_updates.ndjson", "datasets/lineage_edges.ndjson"]
 LOGS = {"spans.ndjson": records.SPAN, "events.ndjson": records.EVENT, "metrics.ndjson": records.METRIC, "datasets/materializations.ndjson": records.MATERIALIZATION, "datasets/registry_updates.ndjson": records.REGISTRY, "datasets/lineage_edges.ndjson": records.LINEAGE}
 SEQ = ", log_batch bigint, log_seq bigint"  # the append a row came with, and its place in it: Spark task << 33, then row
+WHOLE = 256 << 20  # files up to this size are hashed in one piece
 MANIFEST = "path string, sha256 string, bytes bigint, required boolean"
 
 
@@ -58,12 +65,33 @@ def read_ordered_lines(spark: SparkSession, path: str, schema: str) -> DataFrame
     return parsed.select("file", "line_no", "r.*")
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, sha256, bytes) of every file below `root` but temporary ones; hashed where the bytes are read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of local files, read piece by piece."""
+    for b in batches:
+        out = []
+        for path in b.column("path").to_pylist():
+            made = hashlib.sha256()
+            with open(unquote(re.sub("^file:/*", "/", path)), "rb") as f:
+                while piece := f.read(1 << 20):
+                    made.update(piece)
+            out.append(made.hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, pa.string()), b.column("length")], ["path", "sha256", "length"])
+
+
+def files(spark: SparkSession, root: str, whole_up_to: int = WHOLE) -> DataFrame:
+    """(path, sha256, bytes) of every file below `root` but temporary ones; hashed where the bytes are read.
+
+    Files above `whole_up_to` bytes are hashed piece by piece, which needs a file system that is mounted (file:).
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    found = reader.load(root).filter(~F.col("path").endswith(".tmp") & ~F.col("path").endswith(".crc"))
+    hashed = found.filter(F.col("length") <= whole_up_to).select("path", F.sha2("content", 256).alias("sha256"), "length")
+    large = found.filter(F.col("length") > whole_up_to).select("path", "length")
+    if not large.isEmpty():
+        hashed = hashed.unionByName(large.mapInArrow(_digests, "path string, sha256 string, length long"))
     base = F.regexp_replace(F.lit(root.rstrip("/") + "/"), "^file:/*", "/")
     path = F.replace(F.regexp_replace("path", "^file:/*", "/"), base, F.lit(""))
-    return found.filter(~F.col("path").endswith(".tmp") & ~F.col("path").endswith(".crc")).select(path.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    return hashed.select(path.alias("path"), "sha256", F.col("length").alias("bytes"))
 
 
 def manifest_problems(listed: DataFrame, found: DataFrame, required: list[str]) -> DataFrame:
@@ -105,14 +133,28 @@ class Bundle:
         return self._fs.exists(self._path(f"{self.root}/{name}"))
 
     def write(self, name: str, document: object) -> None:
+        self.write_pieces(name, [json.dumps(document, indent=2, sort_keys=True)])
+
+    def write_pieces(self, name: str, pieces: Iterable[str]) -> None:
+        """Replace a document by the pieces of its text, written beside it and then renamed."""
         target, beside = self._path(f"{self.root}/{name}"), self._path(f"{self.root}/{name}.tmp")
         out = self._fs.create(beside, True)
-        out.write(bytearray(json.dumps(document, indent=2, sort_keys=True).encode()))
-        out.close()
+        try:
+            for piece in pieces:
+                out.write(bytearray(piece.encode()))
+        finally:
+            out.close()
         self._fs.delete(target, False)
         if not self._fs.rename(beside, target):
             raise StoreError(f"could not replace {name}")
 
+    def sha256(self, name: str) -> str:
+        stream = self._fs.open(self._path(f"{self.root}/{name}"))
+        try:
+            return self.spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+        finally:
+            stream.close()
+
     def text(self, name: str) -> str:
         stream = self._fs.open(self._path(f"{self.root}/{name}"))
         try:
@@ -177,6 +219,24 @@ class Bundle:
         if self.refresh is not None and self.writes % max(1, self.refresh) == 0:
             self.finalize()
 
+    def append_all(self, logs: dict[str, list[dict]]) -> None:
+        """Add rows to several logs, or to none: what was written before a write failed is taken out again."""
+        before = {name: {f.getPath().getName() for f in self._listed(name)} for name in logs}
+        try:
+            for name, rows in logs.items():
+                if rows:
+                    self.append(name, rows)
+        except Exception:
+            for name, had in before.items():
+                for f in self._listed(name):
+                    if f.getPath().getName() not in had:
+                        self._fs.delete(f.getPath(), True)
+            raise
+
+    def _listed(self, name: str) -> list:
+        where = self._path(f"{self.root}/{name}")
+        return list(self._fs.listStatus(where)) if self._fs.exists(where) else []
+
     def log(self, name: str) -> DataFrame:
         schema = LOGS[name] + SEQ
         if not self.exists(name):
@@ -192,19 +252,28 @@ class Bundle:
         needed = lambda p: p in REQUIRED or any(p.startswith(f"{r}/") for r in REQUIRED)
         self.write("manifest.json", {"schema_version": 1, "entries": [{"path": r["path"], "sha256": r["sha256"], "bytes": r["bytes"], "required": needed(r["path"])} for r in rows]})
 
+    def escapes(self, paths: list[str]) -> list[str]:
+        """Of the paths below the root of a mounted file system, those that links lead out of it."""
+        if self._fs.getScheme() != "file":
+            return []
+        top = os.path.realpath(re.sub("^file:/*", "/", self.root))
+        inside = lambda p: os.path.realpath(os.path.join(top, p)).startswith(top + os.sep)
+        return [p for p in paths if p and not os.path.isabs(p) and not inside(p)]
+
     def problems(self) -> list[tuple[str, str]]:
         entries = [(e["path"], e["sha256"], e["bytes"], e["required"]) for e in self.read("manifest.json")["entries"]]
         listed = self.spark.createDataFrame(entries, MANIFEST)
-        return sorted(map(tuple, manifest_problems(listed, files(self.spark, self.root), REQUIRED).collect()))
+        found = set(map(tuple, manifest_problems(listed, files(self.spark, self.root), REQUIRED).collect()))  # metadata of one run
+        return sorted(found | {(p, "bad_path") for p in self.escapes([e[0] for e in entries])})
 
     # snapshots
     def snapshot(self) -> None:
         """Write the folded registry and lineage, and last the marker that both belong together."""
-        for name, df in (("registry", self.registry()), ("lineage", self.lineage())):
-            rows = [r.asDict(recursive=True) for r in df.collect()]  # metadata of one run
-            self.write(f"datasets/{name}.json", {"schema_version": 1, ("datasets" if name == "registry" else "edges"): rows})
-        digest = lambda n: hashlib.sha256(self.text(f"datasets/{n}.json").encode()).hexdigest()
-        self.write("datasets/snapshot_pair_commit.json", {"schema_version": 1, "registry_sha256": digest("registry"), "lineage_sha256": digest("lineage")})
+        for name, field, df in (("registry", "datasets", self.registry()), ("lineage", "edges", self.lineage())):
+            rows = (r[0] for r in staged(df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})), f"snapshot-{name}").toLocalIterator())  # a part at a time
+            lines = ((", " if i else "") + row + "\n" for i, row in enumerate(rows))
+            self.write_pieces(f"datasets/{name}.json", itertools.chain([f'{{"schema_version": 1, "{field}": ['], lines, ["]}"]))
+        self.write("datasets/snapshot_pair_commit.json", {"schema_version": 1, "registry_sha256": self.sha256("datasets/registry.json"), "lineage_sha256": self.sha256("datasets/lineage.json")})
 
     def snapshot_warning(self) -> str | None:
         """Why the snapshots must not be used and the logs alone count, or null."""
@@ -213,16 +282,14 @@ class Bundle:
         marker = self.read("datasets/snapshot_pair_commit.json")
         if marker.get("schema_version") != 1:
             return f"unsupported snapshot marker version {marker.get('schema_version')}"
-        digest = lambda n: hashlib.sha256(self.text(f"datasets/{n}.json").encode()).hexdigest()
-        if (marker["registry_sha256"], marker["lineage_sha256"]) != (digest("registry"), digest("lineage")):
+        if (marker["registry_sha256"], marker["lineage_sha256"]) != (self.sha256("datasets/registry.json"), self.sha256("datasets/lineage.json")):
             return "snapshot pair does not match its marker; the logs are replayed"
         return None
 
     def _with_snapshot(self, name: str, field: str, schema: str, log: str) -> DataFrame:
-        rows = [] if self.snapshot_warning() else self.read(f"datasets/{name}.json")[field]
-        full = T._parse_datatype_string(schema)
-        old = self.spark.createDataFrame([{f: r.get(f) for f in full.names} for r in rows], full).withColumns({"log_batch": F.lit(-1).cast("long"), "log_seq": F.lit(-1).cast("long")})
-        return old.unionByName(self.log(log))
+        old = read_document(self.spark, f"{self.root}/datasets/{name}.json", f"schema_version int, {field} array<struct<{schema}>>").select(F.explode(field).alias("r")).select("r.*")
+        old = old.filter(F.lit(not self.snapshot_warning()))
+        return old.withColumns({"log_batch": F.lit(-1).cast("long"), "log_seq": F.lit(-1).cast("long")}).unionByName(self.log(log))
 
     def registry(self) -> DataFrame:
         every = self._with_snapshot("registry", "datasets", records.REGISTRY, "datasets/registry_updates.ndjson")

@@ -75,3 +75,10 @@ def test_descendants_on_and_below_loops(spark, hot):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_descendants_of_ids_that_hold_slashes(spark):
+    df = spark.createDataFrame([("t", "a/b", None), ("t", "c", "a/b"), ("t", "d/", "c")], "e string, n string, p string")
+    for hot in (tree.HOT, 1):
+        found = tree.hierarchy(df, df.e, df.n, df.p, hot=hot, between="\x1f")
+        assert sorted((r["ancestor"], r["node"], r["distance"]) for r in tree.descendants(found, between="\x1f").collect()) == [("a/b", "c", 1), ("a/b", "d/", 2), ("c", "d/", 1)]

@@ -55,3 +55,11 @@ def test_units_of_instants(spark):
     ns = 1_735_689_733_294_740_863
     df = spark.createDataFrame([(ns,), (ns // 1000,), (ns // 1_000_000,), (ns // 1_000_000_000,), (None,)], "t long")
     assert [r[0] for r in df.select(to_nanos(F.col("t"))).collect()] == [ns, ns // 1000 * 1000, ns // 10**6 * 10**6, ns // 10**9 * 10**9, None]
+
+
+def test_a_far_off_instant_does_not_put_a_hot_entity_in_one_piece(spark):
+    rows = [("a", 10 * i, 10 * i + (12 if i % 3 else 5)) for i in range(300)] + [("a", 10**15, 10**15 + 5), ("b", 1, 2)]
+    assert both(spark, rows, 60) == brute(rows)
+    df = spark.createDataFrame([(*r, "a", "b", "c") for r in rows], SCHEMA)
+    line, cut = intervals.swept(df, F.col("entity"), F.col("s"), F.col("e"), 60)
+    assert cut and max(r["count"] for r in line.groupBy("entity", "piece").count().collect()) <= 60

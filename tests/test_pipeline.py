@@ -148,6 +148,69 @@ def test_bundle_report_and_tampering(spark, tmp_path):
     assert len(again.warnings) == 1 and again.registry.collect() == registry
 
 
+def test_later_appends_win_whatever_their_partitions(spark, tmp_path):
+    b = store.Bundle.create(spark, f"file://{tmp_path}", RUN)
+    entry = lambda trust: spark.range(40).selectExpr("concat('k', id) as asset_key", "'f' as fingerprint_v0", f"'{trust}' as trust")
+    b.append("datasets/registry_updates.ndjson", entry("trusted").repartition(4))
+    b.append("datasets/registry_updates.ndjson", entry("untrusted").repartition(3))
+    other = store.Bundle.open(spark, b.root)
+    other.append("datasets/registry_updates.ndjson", [{"asset_key": "k7", "fingerprint_v0": "g", "trust": "trusted"}, {"asset_key": "k7", "fingerprint_v0": "h", "trust": "trusted"}])
+    got = {r["asset_key"]: (r["trust"], r["fingerprint_v0"]) for r in b.registry().collect()}
+    assert len(got) == 40 and got.pop("k7") == ("trusted", "h") and set(got.values()) == {("untrusted", "f")}
+    b.snapshot()
+    b.append("datasets/registry_updates.ndjson", entry("trusted").repartition(2))
+    assert {r["trust"] for r in b.registry().collect()} == {"trusted"} and b.snapshot_warning() is None
+
+
+def test_old_materialisations_are_numbered_in_the_order_they_came(spark, tmp_path):
+    b = store.Bundle.create(spark, f"file://{tmp_path}", RUN)
+    old = lambda lo, hi: spark.range(lo, hi, 1, 3).selectExpr("1 as schema_version", "id as ts_unix_nanos", "concat('k', id) as asset_key", "true as cache_hit")
+    b.append("datasets/materializations.ndjson", old(0, 10))
+    b.append("datasets/materializations.ndjson", [{"schema_version": 1, "ts_unix_nanos": 10, "asset_key": "k10"}])
+    rows = b.materializations().collect()
+    assert [r["record_seq"] for r in rows] == list(range(1, 12)) and [r["asset_key"] for r in rows] == [f"k{i}" for i in range(11)]
+    assert rows[0]["cache_decision"] == "hit" and rows[0]["unsafe_reasons"] == ["missing_provenance"]
+    text = "".join(p.read_text() for p in (tmp_path / RUN / "datasets/materializations.ndjson").glob("part*"))
+    assert "unsafe_reasons" not in text  # empty fields are left out
+
+
+def test_a_write_that_fails_leaves_nothing_behind(spark, tmp_path):
+    b = store.Bundle.create(spark, f"file://{tmp_path}", RUN)
+    s = Session(spark, b)
+    s.register("raw", numbers(spark), "file:///raw.parquet")
+    two = G.Node("two", "passthrough", inputs=("raw",), outputs=("a", "b"))
+    append = b.append
+
+    def failing(name, rows):
+        append(name, rows)
+        if name == "datasets/lineage_edges.ndjson":
+            raise OSError("disk full")
+
+    b.append = failing
+    with pytest.raises(OSError):
+        s.materialize(two, {"a": numbers(spark), "b": numbers(spark)})
+    b.append = append
+    assert sorted(s.registry) == ["raw"] and s.records == [] and s.lineage == [] and s.seq == 0
+    assert [r["asset_key"] for r in b.registry().collect()] == ["raw"] and b.lineage().count() == 0 and b.materializations().count() == 0
+    s.materialize(two, {"a": numbers(spark), "b": numbers(spark)})
+    assert [r["record_seq"] for r in b.materializations().collect()] == [1, 2] and b.lineage().count() == 2
+
+
+def test_links_out_of_a_bundle_and_large_files(spark, tmp_path):
+    b = store.Bundle.create(spark, f"file://{tmp_path}", RUN)
+    (tmp_path / "outside.json").write_text("{}")
+    (tmp_path / RUN / "inside.json").symlink_to(tmp_path / "outside.json")
+    b.finalize()
+    assert ("inside.json", "bad_path") in b.problems()
+    whole, pieces = (sorted(map(tuple, store.files(spark, b.root, n).collect())) for n in (1 << 20, 10))
+    assert whole == pieces and len(whole) > 8
+
+
+def test_bad_lines_are_named(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"k":"x","v":1}\n\n{"k":\n{"k":"x","v":2}\nnothing\n')
+    assert [r["line_no"] for r in store.bad_lines(spark, f"file://{tmp_path}/a.json", "k string, v int").orderBy("line_no").collect()] == [3, 5]
+
+
 def test_manifest_problems(spark):
     listed = spark.createDataFrame([("a", "AA", 1, True), ("a", "AA", 1, True), ("b", "bb", 2, True), ("c", "cc", 3, True), ("../d", "x", 1, False), ("/e", "x", 1, False), ("f", "x", 1, True), ("g", "x", 1, False)], store.MANIFEST)
     found = spark.createDataFrame([("a", "aa", 1), ("b", "xx", 2), ("c", "cc", 9), ("more", "x", 1)], "path string, sha256 string, bytes bigint")

@@ -1,4 +1,5 @@
 import math
+import random
 import statistics
 
 import pytest
@@ -133,3 +134,26 @@ def test_weighted_average_and_random_sparse(spark):
     assert column(V.weighted_average(df, *ARGS, F.when(F.col("pos") == 0, 2.0).otherwise(1.0))) == [2.0]
     kept = frame(spark, [1.0] * 1000).select(V.random_sparse(F.col("gradients"), F.lit(3), 0.5)).first()[0]
     assert 400 < len(kept) < 600 and kept[0]["value"] == 2.0
+
+
+def test_krum_in_blocks_equals_krum_in_one_task(spark):
+    rng = random.Random(11)
+    rows = [[rng.gauss(0, 1) * (1e12 if i % 9 == 0 else 1) for _ in range(5)] for i in range(40)] + [[0.5] * 5] * 3
+    df = frame(spark, *rows)
+    whole = [(r["sender"], r["place"]) for r in V.krum(df, *ARGS, faulty=6, selected=43, max_peers=100).orderBy("place").collect()]
+    for block in (7, 16):
+        cut = V.krum(df, *ARGS, faulty=6, selected=43, max_peers=100, block=block)
+        assert [(r["sender"], r["place"]) for r in cut.orderBy("place").collect()] == whole
+    brute = {(i, j): sum((a - b) ** 2 for a, b in zip(rows[i], rows[j], strict=True)) for i in range(43) for j in range(i + 1, 43)}
+    for block in (9, 100):
+        got = {(r["sender"], r["other"]): r["distance"] for r in V.pairwise_distances(df, *ARGS, block=block).collect()}
+        assert got.keys() == brute.keys() and all(abs(got[k] - brute[k]) <= 1e-6 * (1 + brute[k]) for k in brute)
+
+
+def test_codecs_sizes_and_ratios(spark):
+    df = spark.createDataFrame([([1.0, -3.0, 0.5, 2.0],), ([],), (None,)], "v array<float>")
+    back = df.select(V.from_dense_bytes(V.dense_bytes("v")).alias("b"), V.from_dense_bytes(F.lit(b"abc")).alias("bad")).collect()
+    assert [r["b"] for r in back] == [[1.0, -3.0, 0.5, 2.0], [], None] and back[0]["bad"] is None
+    size = df.select(*[V.compressed_size(F.col("v"), h, 0.5).alias(h) for h in ("dense", "top_k", "int8", "top_k_int8")], V.compression_ratio(F.col("v"), "top_k_int8", 0.5).alias("r"), V.top_k_quantized(F.col("v"), 0.5, 0.5).alias("q")).collect()
+    assert tuple(size[0])[:4] == (16, 16, 4, 10) and size[0]["r"] == 1.6 and size[1]["r"] == 1.0
+    assert [tuple(p) for p in size[0]["q"]] == [(1, -6), (3, 4)]
