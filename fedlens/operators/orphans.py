@@ -72,9 +72,9 @@ def _lists(live: DataFrame) -> DataFrame:
 
 
 def _parts(references: DataFrame, targets: DataFrame, by: list[str], share: float, intervals: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Orphans among references of heavy keys; (kind, key, by..., __period, __n) of which all references are orphans; orphans of other periods."""
+    """Orphans among references of heavy keys; (kind, key, by..., __period, __n) of which all references are orphans; (kind, key, by..., __period, __live) of which some may be."""
     spark = references.sparkSession
-    live = live_intervals(targets)
+    live = staged(live_intervals(targets), "orphans-live")
     per_period = staged(counted(references, by), "orphans-periods")
     heavy = heavy_keys(per_period, live, share, intervals)
     marks = spark.createDataFrame(heavy, "kind string, key string")
@@ -88,11 +88,15 @@ def _parts(references: DataFrame, targets: DataFrame, by: list[str], share: floa
     same = (c("kind") == c("__kind")) & (c("key") == c("__key"))
     gone = rest.join(spells, same & touches, "left_anti")
     partly = rest.join(spells, same & touches & ~throughout, "left_semi").join(spells, same & throughout, "left_anti")
-    mixed = partly.select(*KEY, *by, "__period").join(_lists(live), KEY)
-    match = [c(n).eqNullSafe(c(f"__m_{n}")) for n in by] + [c("kind") == c("__m_kind"), c("key") == c("__m_key"), month("at").eqNullSafe(c("__m_period"))]
-    mixed = mixed.select(*[c(n).alias(f"__m_{n}") for n in (*KEY, *by)], c("__period").alias("__m_period"), "__live")
-    some = references.join(mixed, reduce(lambda a, b: a & b, match)).filter(_dead()).select(*references.columns)
-    return busy, gone, some
+    return busy, gone, partly.select(*KEY, *by, "__period").join(_lists(live), KEY)
+
+
+def _checked(references: DataFrame, periods: DataFrame) -> DataFrame:
+    """The orphans among references of `periods` (kind, key, by..., __period, __live), the list null where nothing was live."""
+    by = [c for c in periods.columns if c not in ("__period", "__live")]
+    match = [F.col(n).eqNullSafe(F.col(f"__m_{n}")) for n in by if n not in KEY] + [F.col(n) == F.col(f"__m_{n}") for n in KEY] + [month("at").eqNullSafe(F.col("__m_period"))]
+    named = periods.select(*[F.col(n).alias(f"__m_{n}") for n in by], F.col("__period").alias("__m_period"), "__live")
+    return references.join(named, reduce(lambda a, b: a & b, match)).filter(_dead()).select(*references.columns)
 
 
 def _valid(references: DataFrame) -> DataFrame:
@@ -102,18 +106,17 @@ def _valid(references: DataFrame) -> DataFrame:
 def orphans(references: DataFrame, targets: DataFrame, share: float = SHARE, intervals: int = INTERVALS) -> DataFrame:
     """The rows of references (kind, key, at, ...) with no live target; all their columns are kept."""
     refs = _valid(references)
-    busy, gone, some = _parts(refs, targets, [], share, intervals)
-    lost = gone.select(F.col("kind").alias("__kind"), F.col("key").alias("__key"), "__period")
-    whole = refs.join(lost, (F.col("kind") == F.col("__kind")) & (F.col("key") == F.col("__key")) & month("at").eqNullSafe(F.col("__period")), "left_semi")
-    return busy.unionByName(whole).unionByName(some)
+    busy, gone, mixed = _parts(refs, targets, [], share, intervals)
+    periods = gone.select(*KEY, "__period", F.lit(None).cast(mixed.schema["__live"].dataType).alias("__live")).unionByName(mixed)
+    return busy.unionByName(_checked(refs, periods))
 
 
 def orphan_report(references: DataFrame, targets: DataFrame, by: list[str], share: float = SHARE, intervals: int = INTERVALS) -> DataFrame:
     """(by..., month, refs, orphans): of whole dead periods the counts are summed, their references are not read again."""
-    refs = _valid(references).distinct()
-    busy, gone, some = _parts(refs, targets, [c for c in by if c not in KEY], share, intervals)
+    refs = staged(_valid(references).distinct(), "orphans-references")
+    busy, gone, mixed = _parts(refs, targets, [c for c in by if c not in KEY], share, intervals)
     text = F.date_format("__period", "yyyy-MM").alias("month")
-    lost = [d.groupBy(*by, month("at").alias("__period")).agg(F.count(F.lit(1)).alias("n")).select(*by, text, "n") for d in (busy, some)]
+    lost = [d.groupBy(*by, month("at").alias("__period")).agg(F.count(F.lit(1)).alias("n")).select(*by, text, "n") for d in (busy, _checked(refs, mixed))]
     every = gone.select(*by, text, F.col("__n").alias("n")).unionByName(lost[0]).unionByName(lost[1]).select(*by, "month", F.lit(0).alias("refs"), F.col("n").alias("orphans"))
     seen = refs.groupBy(*by, month("at").alias("__period")).agg(F.count(F.lit(1)).alias("refs")).select(*by, text, "refs", F.lit(0).alias("orphans"))
     return seen.unionByName(every).groupBy(*by, "month").agg(F.sum("refs").alias("refs"), F.sum("orphans").alias("orphans"))
