@@ -4,7 +4,10 @@ Plan, on the driver, from the histogram of lengths (at most one number per lengt
 size has nothing to do with the number of items): enumerate shallow combinations of lengths, up to three
 lengths of which the first two may repeat, that fill a window below the capacity; solve how often to use
 each by non-negative least squares against the histogram; round down to whole containers the histogram can
-pay for; pack what is left greedily, longest first, repeating a pattern as long as its lengths last.
+pay for; pack what is left greedily, longest first, repeating a pattern as long as its lengths last. How many
+combinations are weighed is bounded by parameters that hold at every size: of the middle length of a triple
+`MIDDLES` values are tried, of all combinations `MOST` are kept, both evenly spaced; that narrows the choice of
+patterns, and no item is ever left out.
 
 Assignment, distributed: items of a length are interchangeable, so the k-th item of a length takes the k-th
 slot the plan has for it. Ranks come from (length, bucket) counts and a rank within each bucket, buckets
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS, ROUNDS, MOST = 100_000, 400, 300_000
+BUCKET_ROWS, ROUNDS, MOST, MIDDLES = 100_000, 400, 300_000, 600
 
 
 @dataclass
@@ -53,8 +56,8 @@ def combinations(lengths: np.ndarray, capacity: int, window: int) -> tuple[np.nd
                 ok[ok] = have[b[ok]]
                 ok &= b != a
                 found.append(np.stack([a[ok], np.full(ok.sum(), i), b[ok], np.full(ok.sum(), j), np.zeros(ok.sum(), int), np.zeros(ok.sum(), int)], axis=1))
-        if i <= 4 and len(lengths) <= 600:
-            for b in lengths:  # three lengths, the first repeated i times
+        if i <= 4:
+            for b in lengths[np.unique(np.linspace(0, len(lengths) - 1, MIDDLES).astype(int))]:  # three lengths, the first repeated i times
                 c = rest - b
                 ok = (c > 0) & (c < b)
                 ok[ok] = have[c[ok]]
@@ -64,7 +67,7 @@ def combinations(lengths: np.ndarray, capacity: int, window: int) -> tuple[np.nd
     every = np.concatenate(found)
     filled = (every[:, 0::2] * every[:, 1::2]).sum(1)
     every = every[(filled <= capacity) & (filled >= capacity - window)]
-    if len(every) > MOST:  # evenly spaced through the enumeration; only the plan's choice narrows, no item is left out
+    if len(every) > MOST:
         every = every[np.linspace(0, len(every) - 1, MOST).astype(int)]
     return every[:, 0::2], every[:, 1::2]
 
