@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fedlens.common import NANOS_PER_DAY, staged, table
@@ -93,27 +93,63 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "container_kind string, capacity_tokens int, containers long, fewest long, tokens long, most int, fill double"))
 
 
+def p8_holds(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind, whether every token is in a container once, none is over its capacity, only longer texts are cut, and at most 1 % more containers are used than the fewest possible."""
+    sizes = staged(tokens.token_counts(table(spark, d, "documents")), "tokens")
+    kinds = table(spark, d, "containers").filter("capacity_tokens > 0").select("container_kind", "capacity_tokens").collect()  # a row per kind
+    parts = []
+    for kind, capacity in sorted(kinds):
+        rows = staged(packing.pack(sizes, capacity)[0], "packed")
+        each = rows.groupBy("id").agg(F.sum("length").alias("got"), F.count(F.lit(1)).alias("pieces"), F.countDistinct("part").alias("different"))
+        both = sizes.filter("id is not null and tokens > 0").join(each, "id", "full")
+        whole = both.agg(F.coalesce(F.bool_and(F.coalesce((F.col("got") == F.col("tokens")) & (F.col("pieces") == F.col("different")), F.lit(False))), F.lit(True)).alias("each_token_once"), F.coalesce(F.bool_and((F.col("pieces") == 1) | (F.col("tokens") > capacity)), F.lit(True)).alias("cut_only_if_longer"))
+        used = rows.groupBy("container").agg(F.sum("length").alias("used")).agg(F.coalesce(F.max("used") <= capacity, F.lit(True)).alias("within_capacity"), F.coalesce(F.count(F.lit(1)) <= F.ceil(F.ceil(F.sum("used") / capacity) * 1.01), F.lit(True)).alias("near_fewest"))
+        parts.append(whole.join(F.broadcast(used)).select(F.lit(kind).alias("container_kind"), "each_token_once", "cut_only_if_longer", "within_capacity", "near_fewest"))  # one row each
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "container_kind string, each_token_once boolean, cut_only_if_longer boolean, within_capacity boolean, near_fewest boolean"))
+
+
 def _mixed(spark: SparkSession, d: str, whole: bool = False):
     docs = table(spark, d, "documents")
     sizes = staged(tokens.token_counts(docs, extra={"source": docs["source"]}), "tokens")
     listed = table(spark, d, "mix_targets").withColumn("source", mixing.source_form(F.col("source")))
     targets = {r["source"]: (r["target_share"], r["max_repeats"]) for r in listed.collect()}  # a row per source
     total = float(sizes.agg(F.sum("tokens")).first()[0] or 0) if whole else None
-    return targets, mixing.mix(sizes, targets, total)
+    return targets, mixing.mix(sizes, targets, total), sizes
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     """The mix in which every source has its share."""
-    _, (mixed, _, _) = _mixed(spark, d)
+    _, (mixed, _, _), _ = _mixed(spark, d)
+    return mixed.select(F.col("id").alias("doc_id"), "source", "copy", "tokens")
+
+
+def p9_mix_whole(spark: SparkSession, d: str) -> DataFrame:
+    """A mix as large as all texts together: sources repeat up to their caps and fall short of their shares where these bind."""
+    _, (mixed, _, _), _ = _mixed(spark, d, whole=True)
     return mixed.select(F.col("id").alias("doc_id"), "source", "copy", "tokens")
 
 
+def p9_holds(spark: SparkSession, d: str) -> DataFrame:
+    """Per source and mix, whether no text occurs more often than its source's cap, and the tokens come within 2 % of the mix, or two of the source's longest texts, of what the rate asks for."""
+    parts = []
+    for name, whole in (("exact shares", False), ("size of the input", True)):
+        targets, (mixed, rate, held), sizes = _mixed(spark, d, whole)
+        mixed = staged(mixed, "mixed")
+        reached = mixing.shares(mixed, targets, rate, held)
+        longest = sizes.groupBy(mixing.source_form(F.col("source")).alias("source")).agg(F.max("tokens").alias("longest"))
+        every = mixed.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("every"))
+        off = F.abs(F.col("mix_tokens") - F.col("rate") * F.col("source_tokens"))
+        checked = reached.join(longest, "source", "left").join(F.broadcast(every))  # one row
+        parts.append(checked.select(F.lit(name).alias("mix"), "source", (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"), (off <= F.greatest(0.02 * F.col("every"), 2 * F.coalesce("longest", F.lit(0)))).alias("as_asked")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Shares wanted and reached: in that mix, and in one as large as all texts together, where caps may bind."""
     parts = []
     for name, whole in (("exact shares", False), ("size of the input", True)):
-        targets, (mixed, rate, sizes) = _mixed(spark, d, whole)
-        parts.append(mixing.shares(mixed, targets, rate, sizes).withColumn("mix", F.lit(name)))
+        targets, (mixed, rate, held), _ = _mixed(spark, d, whole)
+        parts.append(mixing.shares(mixed, targets, rate, held).withColumn("mix", F.lit(name)))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -135,9 +171,24 @@ def p10_documents(spark: SparkSession, d: str) -> DataFrame:
     return best.select(F.col("id").alias("doc_id"), F.col("label").alias("label_lang"), "lang", F.round("confidence", 6).alias("confidence"), "parts")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours, p4_recall, p6_percentiles, p6_bounds_hold, p8_packing, p8_fill, p9_mix, p9_shares, p10_found, p10_segments, p10_documents)}
+def p10_holds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether parts are numbered in order, neighbouring parts differ, at least four of five texts of one language agree with their label, and those that don't are less certain on average."""
+    rows = staged(_parts(spark, d), "languages-parts")
+    w = Window.partitionBy("id").orderBy("seg_no")
+    turns = rows.select("seg_no", F.row_number().over(w).alias("n"), (F.col("lang") == F.lag("lang").over(w)).alias("same"))
+    order = turns.agg(F.coalesce(F.bool_and(F.col("seg_no") == F.col("n")), F.lit(True)).alias("numbered"), F.coalesce(~F.bool_or("same"), F.lit(True)).alias("neighbours_differ"))
+    lone = rows.filter("parts = 1 and label is not null").groupBy((F.col("label") == F.col("lang")).alias("agrees")).agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("sure"))
+    pick = lambda c, of: F.max(F.when(F.col("agrees") == F.lit(of), F.col(c)))
+    fit = lone.agg(F.coalesce(pick("n", True) >= 4 * F.coalesce(pick("n", False), F.lit(0)), F.lit(True)).alias("labels_agree"), F.coalesce(pick("sure", True) > pick("sure", False), F.lit(True)).alias("wrong_less_certain"))
+    return order.join(F.broadcast(fit))  # one row each
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours, p4_recall, p6_percentiles, p6_bounds_hold, p8_packing, p8_fill, p8_holds, p9_mix, p9_mix_whole, p9_shares, p9_holds, p10_found, p10_segments, p10_documents, p10_holds)}
 
 ORACLE = {
+    "p8_holds": "SELECT container_kind, true AS each_token_once, true AS cut_only_if_longer, true AS within_capacity, true AS near_fewest FROM containers WHERE capacity_tokens > 0",
+    "p9_holds": "SELECT mix, replace(replace(lower(trim(source)), '_', '-'), ' ', '-') AS source, true AS within_cap, true AS as_asked FROM mix_targets, (VALUES ('exact shares'), ('size of the input')) AS m(mix)",
+    "p10_holds": "SELECT true AS numbered, true AS neighbours_differ, true AS labels_agree, true AS wrong_less_certain",
     "p6_bounds_hold": "SELECT name, unit, CAST(DATE '1970-01-01' + CAST(ts_unix_nanos // 86400000000000 AS INTEGER) AS VARCHAR) AS day, count(*) AS n, true AS holds FROM (SELECT DISTINCT ts_unix_nanos, trace_id, span_id, name, unit, value FROM metrics WHERE isfinite(value)) GROUP BY 1, 2, 3",
     "p4_found": """WITH v AS (SELECT update_id AS i, any_value(CAST(gradients AS DOUBLE[])) AS g FROM updates WHERE len(gradients) = 64 AND len(list_filter(gradients, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(gradients, lambda x: x <> 0)) > 0 GROUP BY 1),
  w AS (SELECT i, list_transform(g, lambda x: x / sqrt(list_inner_product(g, g))) AS g FROM v),

@@ -3,12 +3,17 @@
 Model: for each language a probability per piece of a fixed public vocabulary. The probability of a word is
 the sum over all ways to cut it into pieces (forward algorithm, no best segmentation is chosen); that of a
 sentence is the product over its words. Pieces are estimated by expectation-maximisation over the same sums,
-from at most `SAMPLE` labelled texts (a documented bound; smallest id hash, at most `SAMPLE_CHARS` long);
-since labels may be wrong, sentences the first models assign to another language move there before the
-models are estimated anew.
+from at most `PIECES` sentences of labelled texts (documented bounds: texts by a hash of their id, `SAMPLE` of
+them expected; sentences by a hash of id and place, whatever the length of their text; one of more than
+`PIECE_WORDS` words counts as several). Since labels may be wrong, sentences the first models assign to another
+language move there before the models are estimated anew.
+
+Confidence: the posterior of the part's language, with log probabilities divided by t n^b for n words; t and b
+are those under which the labels of held-out sentences (one of `HELD_OUT`) are most likely, a share of wrong
+labels being allowed for. Words of a text aren't independent, and without this every part would look certain.
 
 A text is cut after sentence ends and at line or column breaks. Words that hold digits, the units behind
-numbers and codes have no language. Between sentences a change of language costs `SWITCH` nats, so a cut-off
+numbers and codes have no language, nor has a word in which a text of several words breaks off. Between sentences a change of language costs `SWITCH` nats, so a cut-off
 or empty sentence follows its neighbours; runs of sentences in one language are the text's parts.
 
 Scale: one pass over the texts without any shuffle; the model is a few MB whatever the data. Words repeat, so
@@ -30,9 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fedlens.llm.sampling import bounded_sample
-
-SAMPLE, SAMPLE_CHARS = 20_000, 4_000
+SAMPLE, PIECES, PIECE_WORDS, HELD_OUT = 20_000, 100_000, 50, 10
 TOKENIZERS = "/opt/tokenizers"
 SWITCH, FLOOR, KEPT_WORDS, SPACE = 4.0, 1e-7, 200_000, "▁"
 SENTENCE = re.compile(r"(?<=[.!?…。！？])[\"'»”)\]]*\s+|\s*[\n\r|]+\s*")
@@ -62,6 +65,13 @@ def vocabulary(tokenizers: str = TOKENIZERS) -> list[str]:
     return sorted({simple(p) for p in pieces} - {""})
 
 
+def unbroken(text: str, found: list[list[str]]) -> list[list[str]]:
+    """The words of each sentence of a text, without the last one if the text breaks off in it and there are others."""
+    if found and found[-1] and sum(map(len, found)) > 1 and simple(text.rstrip()).endswith(found[-1][-1]):
+        return [*found[:-1], found[-1][:-1]]
+    return found
+
+
 class Pieces:
     """Log probabilities (pieces, languages) and the forward sums over them."""
 
@@ -167,9 +177,30 @@ def runs(score: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return path
 
 
-def certainty(score: np.ndarray, lang: int) -> float:
-    """Posterior of a language, all equally likely before."""
-    return float(1 / np.exp(score - score[lang]).sum())
+def softmax(score: np.ndarray) -> np.ndarray:
+    e = np.exp(score - score.max(-1, keepdims=True))
+    return e / e.sum(-1, keepdims=True)
+
+
+def calibrated(score: np.ndarray, words_in: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """(t, b) of the module's confidence from scores (texts, languages), word counts and labels; (1, 0) without any."""
+    best, found = -np.inf, (1.0, 0.0)
+    if not len(score):
+        return found
+    own = np.arange(len(score))
+    for t in 2.0 ** np.arange(0, 5.5, 0.5):
+        for b in (0.0, 0.25, 0.5, 0.75, 1.0):
+            p = softmax(score / (t * words_in[:, None] ** b))[own, labels]
+            for wrong in (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3):
+                fit = np.log((1 - wrong) * p + wrong / score.shape[1]).sum()
+                if fit > best:
+                    best, found = fit, (float(t), float(b))
+    return found
+
+
+def certainty(score: np.ndarray, lang: int, n: int, scale: tuple[float, float]) -> float:
+    """Calibrated posterior of a language for a part of `n` words, all languages equally likely before."""
+    return float(softmax(score / (scale[0] * max(1, n) ** scale[1]))[lang])
 
 
 def label_forms(languages: DataFrame) -> dict[str, str]:
@@ -186,13 +217,42 @@ def labelled(label: str | None, forms: dict[str, str]) -> str | None:
     return forms.get(plain) or forms.get(re.split(r"[-_ (]", plain)[0]) if plain else None
 
 
-def fit(docs: DataFrame, forms: dict[str, str], id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, tokenizers: str = TOKENIZERS) -> tuple[Pieces, list[str]]:
-    codes = sorted(set(forms.values()))
+def pieces_of(text: str) -> list[str]:
+    """The sentences of a text, those of more than `PIECE_WORDS` words cut."""
+    out = []
+    for sentence in sentences(text):
+        found = sentence.split()
+        out += [sentence] if len(found) <= PIECE_WORDS else [" ".join(found[i : i + PIECE_WORDS]) for i in range(0, len(found), PIECE_WORDS)]
+    return out
+
+
+def sampled(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, pieces: int = PIECES) -> DataFrame:
+    """(i, no, t, l): at most `pieces` sentences with the label of their text."""
     c = lambda n: docs[f"`{n}`"]
-    rows = docs.select(c(id_col).alias("i"), c(text_col).alias("t"), c(label_col).alias("l")).filter(F.col("t").isNotNull() & F.col("l").isNotNull() & (F.length("t") <= SAMPLE_CHARS))
-    taken = bounded_sample(rows, docs.count(), "i", sample).collect()
+    rows = docs.select(c(id_col).cast("long").alias("i"), c(text_col).cast("string").alias("t"), c(label_col).cast("string").alias("l")).filter("i is not null and t is not null and l is not null")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, text, label in zip(*[b.column(n).to_pylist() for n in ("i", "t", "l")], strict=True):
+                found = pieces_of(text)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(found)), pa.array(range(len(found)), pa.int32()), pa.array(found), pa.array([label] * len(found))], ["i", "no", "t", "l"])
+
+    total = docs.count()
+    if total > sample:
+        rows = rows.filter(F.shiftrightunsigned(F.xxhash64("i"), 11) < F.lit(int(sample / total * (1 << 53))))
+    return rows.mapInArrow(cut, "i long, no int, t string, l string").orderBy(F.xxhash64("i", "no"), "i", "no", "t", "l").limit(pieces)
+
+
+def fit(docs: DataFrame, forms: dict[str, str], id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, tokenizers: str = TOKENIZERS) -> tuple[Pieces, list[str], tuple[float, float]]:
+    """The model, the languages' codes, and the scale of confidences."""
+    codes = sorted(set(forms.values()))
+    taken = sampled(docs, id_col, text_col, label_col, sample).collect()  # at most PIECES short rows
     texts = [(r["t"], codes.index(code)) for r in taken if (code := labelled(r["l"], forms))]
-    return train(texts, len(codes), vocabulary(tokenizers)), codes
+    held = [(w, lang) for text, lang in texts[::HELD_OUT] if (w := words(text))]
+    model = train([x for k, x in enumerate(texts) if k % HELD_OUT or len(texts) < HELD_OUT], len(codes), vocabulary(tokenizers))
+    score = np.stack([model.scores(w).sum(0) for w, _ in held]) if held else np.zeros((0, len(codes)))
+    return model, codes, calibrated(score, np.array([len(w) for w, _ in held]), np.array([lang for _, lang in held]))
 
 
 SCHEMA = "id long, label string, seg_no int, parts int, lang string, confidence double, sentences int, first_sentence int, characters long"
@@ -202,16 +262,16 @@ FIELDS = pa.schema([("id", pa.int64()), ("label", pa.string()), ("seg_no", pa.in
 def segments(docs: DataFrame, languages: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, tokenizers: str = TOKENIZERS) -> DataFrame:
     """(id, label, seg_no, parts, lang, confidence, sentences, first_sentence, characters): every part of every text; label is the code its label names, parts the number of the text's parts."""
     forms = label_forms(languages)
-    model, codes = fit(docs, forms, id_col, text_col, label_col, sample, tokenizers)
-    shared = docs.sparkSession.sparkContext.broadcast((model.names, model.log_p, codes, forms))  # bounded by vocabulary and languages
+    model, codes, scale = fit(docs, forms, id_col, text_col, label_col, sample, tokenizers)
+    shared = docs.sparkSession.sparkContext.broadcast((model.names, model.log_p, codes, forms, scale))  # bounded by vocabulary and languages
     c = lambda n: docs[f"`{n}`"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, log_p, codes, forms = shared.value
+        names, log_p, codes, forms, scale = shared.value
         pieces = Pieces(names, log_p)
         for b in batches:
             cut = [sentences(t) if t else [] for t in b.column("t").to_pylist()]
-            found = [words(s) for doc in cut for s in doc]
+            found = [w for t, doc in zip(b.column("t").to_pylist(), cut, strict=True) if doc for w in unbroken(t, [words(s) for s in doc])]
             per_word = pieces.scores([w for s in found for w in s])
             ends = np.cumsum([len(s) for s in found]) if found else np.zeros(0, dtype=int)
             sums = np.concatenate([np.zeros((1, len(codes))), np.cumsum(per_word, axis=0)])
@@ -219,16 +279,16 @@ def segments(docs: DataFrame, languages: DataFrame, id_col: str = "doc_id", text
             rows, at = [], 0
             for i, label, doc in zip(b.column("i").to_pylist(), b.column("l").to_pylist(), cut, strict=True):
                 own = score[at : at + len(doc)]
-                some = [bool(found[at + k]) for k in range(len(doc))]
+                counts = [len(found[at + k]) for k in range(len(doc))]
                 at += len(doc)
-                if not any(some):
+                if not any(counts):
                     continue
                 path = runs(own)
                 starts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1), len(doc)]
                 code = labelled(label, forms)
                 for k, (lo, hi) in enumerate(zip(starts, starts[1:], strict=False)):
                     lang = int(path[lo])
-                    rows.append((i, code, k + 1, len(starts) - 1, codes[lang], certainty(own[lo:hi].sum(0), lang), hi - lo, int(lo) + 1, sum(map(len, doc[lo:hi]))))
+                    rows.append((i, code, k + 1, len(starts) - 1, codes[lang], certainty(own[lo:hi].sum(0), lang, sum(counts[lo:hi]), scale), hi - lo, int(lo) + 1, sum(map(len, doc[lo:hi]))))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), FIELDS.types, strict=True)] if rows else [pa.array([], t) for t in FIELDS.types], schema=FIELDS)
 
     return docs.select(c(id_col).cast("long").alias("i"), c(text_col).cast("string").alias("t"), c(label_col).cast("string").alias("l")).mapInArrow(run, SCHEMA)

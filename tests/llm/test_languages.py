@@ -37,6 +37,12 @@ def test_words_and_sentences_leave_out_codes_numbers_and_units():
     assert L.sentences("One. Two! Three (4.5). | Four\nfive") == ["One.", "Two!", "Three (4.5).", "Four", "five"]
 
 
+def test_a_word_in_which_a_text_breaks_off_has_no_language():
+    assert L.unbroken("One two. A thir", [["one", "two"], ["a", "thir"]]) == [["one", "two"], ["a"]]
+    assert L.unbroken("One two.", [["one", "two"]]) == [["one", "two"]] and L.unbroken("One", [["one"]]) == [["one"]]
+    assert L.unbroken("One. Two 4.5km", [["one"], ["two"]]) == [["one"], ["two"]] and L.unbroken("", []) == []
+
+
 def test_labels():
     forms = {"en": "en", "eng": "en", "english": "en", "pt": "pt"}
     assert [L.labelled(x, forms) for x in (" EN ", "eng", "English", "en-US", "en_GB", "pt_BR", "und", "", None, "??", "english (uk)")] == ["en", "en", "en", "en", "en", "pt", None, None, None, None, "en"]
@@ -52,15 +58,43 @@ def test_held_out_accuracy(spark, tables):
     # held out: translations, which the model never saw, in a language that target_lang names for most rows
     held = docs.select("doc_id", docs["target_text"].alias("text"), docs["target_lang"].alias("lang")).filter("text is not null")
     forms = L.label_forms(langs)
-    model, codes = L.fit(docs, forms, "doc_id", "text", "lang")
+    model, codes, scale = L.fit(docs, forms, "doc_id", "text", "lang")
     right = total = 0
+    sure = {True: [], False: []}
     for r in held.collect():
         found = [w for s in L.sentences(r.text) for w in L.words(s)]
         code = L.labelled(r.lang, forms)
         if len(found) >= 5 and code:
             total += 1
-            right += codes[int(model.scores(found).sum(0).argmax())] == code
+            score = model.scores(found).sum(0)
+            lang = int(score.argmax())
+            right += codes[lang] == code
+        if found and code:  # short ones too
+            short = found[:2]
+            score = model.scores(short).sum(0)
+            lang = int(score.argmax())
+            sure[codes[lang] == code].append(L.certainty(score, lang, len(short), scale))
     assert total > 500 and right / total > 0.85  # some target_lang are wrong and some texts mixed
+    assert np.mean(sure[False]) < np.mean(sure[True]) - 0.05  # of the first two words alone, wrong ones look less certain
+
+
+def test_calibration_finds_overconfidence_and_bears_wrong_labels():
+    rng = np.random.default_rng(3)
+    truth = rng.integers(0, 4, 4000)
+    logit = rng.normal(0, 1, (4000, 4))
+    logit[np.arange(4000), truth] += 2.0
+    labels = np.where(rng.random(4000) < 0.1, rng.integers(0, 4, 4000), truth)
+    t, b = L.calibrated(logit * 2 * 8, np.full(4000, 4), labels)
+    assert 5 <= t * 4**b <= 12
+    assert L.calibrated(np.zeros((0, 4)), np.zeros(0), np.zeros(0)) == (1.0, 0.0)
+
+
+def test_sentences_of_long_texts_are_sampled_whole(spark):
+    long = " ".join(f"word{'abcdefghij'[i % 10]}" for i in range(2000)) + ". Second sentence here."
+    docs = spark.createDataFrame([(1, long, "en"), (2, "Short one. Another.", "en"), (3, None, "en"), (None, "No id.", "en"), (4, "No label.", None)], "doc_id long, text string, lang string")
+    got = L.sampled(docs, "doc_id", "text", "lang").collect()
+    assert sum(r["i"] == 1 for r in got) == 41 and {r["t"] for r in got if r["i"] == 2} == {"Short one.", "Another."} and {r["i"] for r in got} == {1, 2}
+    assert L.sampled(docs, "doc_id", "text", "lang", pieces=7).count() == 7
 
 
 def test_mixed_text_missing_labels_and_dirt(spark, tables):
