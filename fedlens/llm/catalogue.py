@@ -22,21 +22,36 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.col("query").alias("update_id"), F.col("other").alias("other_update_id"), F.round("cosine", 5).alias("cosine"))
 
 
+def p4_five(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar of every update, through the index."""
+    near = neighbours.similar(table(spark, d, "updates"), "update_id", "gradients")
+    return near.select(F.col("query").alias("update_id"), F.col("other").alias("other_update_id"), F.round("cosine", 5).alias("cosine"))
+
+
 def p4_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Share of the true five most similar that the index finds as p4_found asks it, for the query set of p4_neighbours.
+    """Share of the true five most similar that are found, for the query set of p4_neighbours.
 
-    `close_` counts those of cosine 0.95 or more, `scanned_` what p4_neighbours finds, which reads every row.
+    `recall` is that of the index as p4_five asks it, `close_recall` that of the index as p4_found asks it, of those
+    of cosine 0.95 or more, and `scanned_recall` what p4_neighbours finds, which reads every row.
     """
     u = table(spark, d, "updates")
     near = lambda **how: neighbours.similar(u, "update_id", "gradients", queries="rep % 100 = 0", **how)
-    got, scanned = (df.select("query", "other", F.lit(1).alias(hit)) for df, hit in ((near(through_index=True), "hit"), (near(), "scanned")))
-    both = near(exact=True).join(got, ["query", "other"], "left").join(scanned, ["query", "other"], "left")
+    runs = {"hit": near(through_index=True), "near_hit": near(through_index=True, least=0.95), "scanned": near()}
+    both = near(exact=True)
+    for name, df in runs.items():
+        both = both.join(df.select("query", "other", F.lit(1).alias(name)), ["query", "other"], "left")
     close = F.when(F.col("cosine") >= 0.95, F.lit(1))
-    counted = both.agg(F.count(F.lit(1)).alias("true_pairs"), F.count("hit").alias("found_pairs"), F.count(close).alias("close_pairs"), F.count(close * F.col("hit")).alias("close_found"), F.count("scanned").alias("scanned_found"))
+    counted = both.agg(F.count(F.lit(1)).alias("true_pairs"), F.count("hit").alias("found_pairs"), F.count(close).alias("close_pairs"), F.count(close * F.col("near_hit")).alias("close_found"), F.count("scanned").alias("scanned_found"))
     share = lambda found, of: F.round(F.try_divide(found, of), 4)
     return counted.withColumns({"recall": share("found_pairs", "true_pairs"), "close_recall": share("close_found", "close_pairs"), "scanned_recall": share("scanned_found", "true_pairs")})
 
 
+def p4_holds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the index finds at least nine of ten true neighbours, and of those of cosine 0.95 or more."""
+    r = p4_recall(spark, d)
+    return r.select(*[(F.coalesce(c, F.lit(1.0)) >= 0.9).alias(f"{c}_holds") for c in ("recall", "close_recall", "scanned_recall")])
+
+
 FINITE = "value is not null and not isnan(value) and abs(value) < double('infinity')"
 
 
@@ -183,9 +198,10 @@ def p10_holds(spark: SparkSession, d: str) -> DataFrame:
     return order.join(F.broadcast(fit))  # one row each
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours, p4_recall, p6_percentiles, p6_bounds_hold, p8_packing, p8_fill, p8_holds, p9_mix, p9_mix_whole, p9_shares, p9_holds, p10_found, p10_segments, p10_documents, p10_holds)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours, p4_five, p4_recall, p4_holds, p6_percentiles, p6_bounds_hold, p8_packing, p8_fill, p8_holds, p9_mix, p9_mix_whole, p9_shares, p9_holds, p10_found, p10_segments, p10_documents, p10_holds)}
 
 ORACLE = {
+    "p4_holds": "SELECT true AS recall_holds, true AS close_recall_holds, true AS scanned_recall_holds",
     "p8_holds": "SELECT container_kind, true AS each_token_once, true AS cut_only_if_longer, true AS within_capacity, true AS near_fewest FROM containers WHERE capacity_tokens > 0",
     "p9_holds": "SELECT mix, replace(replace(lower(trim(source)), '_', '-'), ' ', '-') AS source, true AS within_cap, true AS as_asked FROM mix_targets, (VALUES ('exact shares'), ('size of the input')) AS m(mix)",
     "p10_holds": "SELECT true AS numbered, true AS neighbours_differ, true AS labels_agree, true AS wrong_less_certain",

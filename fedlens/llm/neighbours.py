@@ -3,13 +3,18 @@
 Codebooks are trained on at most `SAMPLE` rows (those of smallest id hash; a documented bound). Every vector
 is then encoded by beam search as a sum of full-dimensional codebook entries, with the norm of that sum
 stored, and put on the list of its nearest coarse direction. The number of lists grows as the square root of
-the rows, and a query reads the lists of its nearest directions, `SHARE` of all but at least `PROBES`: a fixed
-number of lists finds ever less of the true neighbours as lists grow. It scores their codes by adding
-lookup-table entries, and the best, `SHORT` or more of each slot, are reranked by exact cosine.
+the rows. A query reads the lists of its nearest directions, scores their codes by adding lookup-table entries,
+and the best of each list, at least `LEAST_SHORT`, are reranked by exact cosine.
+
+How many lists are read is measured, not assumed: the true neighbours, of the cosine asked for, of `ASKED`
+sampled vectors are found by brute force in one scan, and as many lists are read as hold `TARGET` of them, at
+least `PROBES`. Pairs that are nearly alike share the nearest lists, so few are read; where neighbours are
+hardly nearer than any other vector, as among random directions, no index can leave much out, about half of
+the lists are read, and work grows with the square of the rows.
 
 Scale: one shuffle for the index, one for the queries' probes. Lists are laid into slots of up to `CAP` rows,
 longer ones cut over several, so no task holds more than `CAP` index rows; queries stream past them, one row
-per query and slot. Reading a share of the lists is work in proportion to the square of the rows. Vectors of the same direction (to 5 decimals) are one class with one representative in the
+per query and slot. Vectors of the same direction (to 5 decimals) are one class with one representative in the
 index, so a group of copies costs one entry; its members are put back at the end, at most k+1 per class.
 
 Defined results: vectors that are null, of another length, zero or with a null, NaN or infinite value take
@@ -32,7 +37,8 @@ from fedlens.llm import additive
 from fedlens.llm.sampling import bounded_sample
 
 SAMPLE, STAGES, ENTRIES, BEAM = 20_000, 16, 256, 4
-PROBES, SHARE, CAP, SHORT = 8, 0.5, 8192, 32
+PROBES, CAP, SHORT, LEAST_SHORT = 16, 8192, 32, 8
+ASKED, TARGET = 1000, 0.97
 EXHAUSTIVE_BLOCK, EXHAUSTIVE_SHORT = 50_000, 400
 PART = pa.schema([("query", pa.int64()), ("other", pa.int64()), ("cosine", pa.float64())])
 
@@ -91,11 +97,6 @@ def fit(rows: DataFrame, dim: int, sample: int = SAMPLE, stages: int = STAGES) -
     return additive.train(unit.astype(np.float32), min(cells, 4096), stages, ENTRIES)
 
 
-def widened(lists: int) -> int:
-    """How many of the lists a query reads."""
-    return max(PROBES, math.ceil(SHARE * lists))
-
-
 def index(reps: DataFrame, codebooks: additive.Codebooks, dim: int) -> DataFrame:
     """(rep, v, cls, last, cell, codes, norm) of every representative."""
     shared = reps.sparkSession.sparkContext.broadcast((codebooks.cells, codebooks.books))  # its size is fixed by the parameters
@@ -121,37 +122,39 @@ def scan(slots: DataFrame, books: np.ndarray | None, dim: int, k: int, short: in
     """
     shared = slots.sparkSession.sparkContext.broadcast(books)
 
-    def rated(part: np.ndarray, v: np.ndarray, cell: np.ndarray, codes: np.ndarray, norms: np.ndarray, lists: pa.Array) -> np.ndarray:
-        if shared.value is None:
-            return part @ v.T
-        lut = additive.tables(part, shared.value)
-        if lists.null_count == len(lists):
-            return additive.score(lut, codes, norms)
-        here, starts = np.unique(cell, return_index=True)  # rows are in the order of their lists
-        reads = np.zeros((len(part), len(here)), dtype=bool)
-        reads[np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy()), np.searchsorted(here, lists.flatten().to_numpy())] = True
-        rough = np.full((len(part), len(v)), -9, dtype=np.float32)
-        for i, (lo, hi) in enumerate(zip(starts, [*starts[1:], len(cell)], strict=True)):
-            who = np.flatnonzero(reads[:, i])
-            if len(who):
-                rough[who, lo:hi] = additive.score(lut[who], codes[lo:hi], norms[lo:hi])
-        return rough
-
     def answer(names: np.ndarray, v: np.ndarray, cell: np.ndarray, codes: np.ndarray, norms: np.ndarray, q_names: np.ndarray, q: np.ndarray, lists: pa.Array) -> Iterator[pa.RecordBatch]:
-        width = max(1, min(256, 2_000_000 // max(1, len(v))))
+        whole = lists.null_count == len(lists)
+        starts = np.zeros(1, dtype=np.int64) if whole else np.unique(cell, return_index=True)[1]  # rows are in the order of their lists
+        ends = np.append(starts[1:], len(v))
+        by_name = np.argsort(names, kind="stable")
+        width = max(1, min(256 if whole else 1024, 4_000_000 // int((ends - starts).max())))
         for i in range(0, len(q), width):
             own, part = q_names[i : i + width], q[i : i + width]
-            rough = rated(part, v, cell, codes, norms, lists.slice(i, len(own)))
-            rough[own[:, None] == names[None, :]] = -9
-            picked = additive.shortlist(rough, short)
-            exact = np.einsum("qd,qrd->qr", part, v[picked])
-            exact[np.take_along_axis(rough, picked, 1) == -9] = -9
-            order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-            cos = np.take_along_axis(exact, order, 1)
-            good = cos >= max(least, -2)
+            lut = None if shared.value is None else additive.tables(part, shared.value)
+            spot = by_name[np.minimum(np.searchsorted(names, own, sorter=by_name), len(names) - 1)]
+            spot = np.where(names[spot] == own, spot, -1)  # where the query itself lies
+            best, found = np.full((len(own), k), -9, dtype=np.float32), np.zeros((len(own), k), dtype=np.int64)
+            reads = np.ones((len(own), 1), dtype=bool)
+            if not whole:
+                asked = lists.slice(i, len(own))
+                reads = np.zeros((len(own), len(starts)), dtype=bool)
+                reads[np.repeat(np.arange(len(own)), asked.value_lengths().to_numpy()), np.searchsorted(cell[starts], asked.flatten().to_numpy())] = True
+            for s, (lo, hi) in enumerate(zip(starts, ends, strict=True)):
+                who = np.flatnonzero(reads[:, s])
+                if not len(who):
+                    continue
+                rough = part[who] @ v[lo:hi].T if lut is None else additive.score(lut[who], codes[lo:hi], norms[lo:hi])
+                mine = np.flatnonzero((spot[who] >= lo) & (spot[who] < hi))
+                rough[mine, spot[who][mine] - lo] = -9
+                picked = additive.shortlist(rough, short if whole else max(LEAST_SHORT, -(-4 * short * (hi - lo) // len(v))))
+                exact = np.einsum("qd,qrd->qr", part[who], v[lo:hi][picked])
+                exact[np.take_along_axis(rough, picked, 1) == -9] = -9
+                both, other = np.concatenate([best[who], exact], axis=1), np.concatenate([found[who], names[lo:hi][picked]], axis=1)
+                order = np.argsort(-both, axis=1, kind="stable")[:, :k]
+                best[who], found[who] = np.take_along_axis(both, order, 1), np.take_along_axis(other, order, 1)
+            good = best >= max(least, -2)
             if good.any():
-                other = names[np.take_along_axis(picked, order, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, good.sum(1))), pa.array(other[good]), pa.array(cos[good].astype(np.float64))], schema=PART)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, good.sum(1))), pa.array(found[good]), pa.array(best[good].astype(np.float64))], schema=PART)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, held, ready = None, [], None
@@ -179,6 +182,40 @@ def scan(slots: DataFrame, books: np.ndarray | None, dim: int, k: int, short: in
     return slots.mapInArrow(run, "query long, other long, cosine double")
 
 
+def lists_needed(indexed: DataFrame, codebooks: additive.Codebooks, dim: int, k: int, least: float, asked: int = ASKED, target: float = TARGET) -> int:
+    """How many lists hold `target` of the true k nearest, of cosine `least` or more, of sampled vectors, by brute force over all rows in one scan."""
+    total = indexed.count()
+    taken = bounded_sample(indexed.select("rep", "v"), total, "rep", asked).toArrow()
+    if not taken.num_rows:
+        return PROBES
+    names, q = taken.column("rep").to_numpy(), _vectors(taken.column("v"), dim)
+    shared = indexed.sparkSession.sparkContext.broadcast((names, q))  # `asked` vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = shared.value
+        cos, cell = np.full((len(q), k), -9, dtype=np.float32), np.full((len(q), k), -1, dtype=np.int32)
+        for b in batches:
+            rep, v = b.column("rep").to_numpy(), _vectors(b.column("v"), dim)
+            for lo in range(0, len(rep), 4096):
+                near = q @ v[lo : lo + 4096].T
+                near[names[:, None] == rep[None, lo : lo + 4096]] = -9
+                both = np.concatenate([cos, near], axis=1)
+                cells = np.concatenate([cell, np.broadcast_to(b.column("cell").to_numpy()[lo : lo + 4096], near.shape)], axis=1)
+                best = np.argpartition(-both, k - 1, axis=1)[:, :k]
+                cos, cell = np.take_along_axis(both, best, 1), np.take_along_axis(cells, best, 1)
+        at, place = np.nonzero(cos >= max(least, -2))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cos[at, place].astype(np.float64)), pa.array(cell[at, place])], ["query", "cosine", "cell"])
+
+    found = indexed.select("rep", "v", "cell").mapInArrow(run, "query long, cosine double, cell int")
+    w = Window.partitionBy("query").orderBy(F.desc("cosine"), "cell")
+    true = found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("query", "cell").toArrow()  # at most k for each of those asked
+    if not true.num_rows:
+        return PROBES
+    order = np.argsort(-(q @ codebooks.cells.T), axis=1)
+    rank = np.argsort(order, axis=1)[true.column("query").to_numpy(), true.column("cell").to_numpy()]
+    return max(PROBES, int(np.quantile(rank, target, method="higher")) + 1)
+
+
 def _scanned(index_rows: DataFrame, query_rows: DataFrame, slots: int, *args) -> DataFrame:
     """`slots`: how many there are, numbered from 0; each is a partition of its own."""
     held = index_rows.select("slot", F.lit(0).alias("kind"), "rep", "v", "cell", "codes", "norm", F.lit(None).cast("array<int>").alias("lists"))
@@ -230,7 +267,8 @@ def probed(indexed: DataFrame, asked: DataFrame, codebooks: additive.Codebooks,
     places = indexed.sparkSession.createDataFrame([(c, int(first[c]), int(blocks[c])) for c in sizes], "cell int, first long, blocks long")
     rows = indexed.join(F.broadcast(places), "cell").withColumn("slot", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("blocks")))
     short = short or max(SHORT, -(-EXHAUSTIVE_SHORT // slots))
-    return _scanned(rows, asks(asked, codebooks.cells, first, blocks, dim, probes or widened(len(codebooks.cells))), slots, codebooks.books, dim, k, short, least)
+    probes = min(probes or lists_needed(indexed, codebooks, dim, k, least), len(codebooks.cells))
+    return _scanned(rows, asks(asked, codebooks.cells, first, blocks, dim, probes), slots, codebooks.books, dim, k, short, least)
 
 
 def exhaustive(indexed: DataFrame, asked: DataFrame, books: np.ndarray | None, dim: int, k: int, short: int = EXHAUSTIVE_SHORT, block: int = EXHAUSTIVE_BLOCK) -> DataFrame:
