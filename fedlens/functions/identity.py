@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import time
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,3 +136,10 @@ def auth_marker(mode: Column, custom: Column) -> Column:
 
 def relative_path(path: Column, base: Column) -> Column:
     return F.ltrim(F.replace(F.replace(path, F.lit("\\"), F.lit("/")), base, F.lit("")), F.lit("/"))
+
+
+def fallback_run_id(*about: object) -> str:
+    """A run id where none is given: 32 hex digits, never all zero, the same for the same arguments; by default of this instant and process."""
+    about = about or (time.time_ns(), os.getpid())
+    made = hashlib.sha256("\x1f".join(map(str, ("run.v0", *about))).encode()).hexdigest()[:32]
+    return made if made.strip("0") else "1".zfill(32)

@@ -12,6 +12,8 @@ a window keyed by (sender, number).
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ SKEW_SECONDS, WINDOW, MAX_WINDOW, PIECE = 60, 16, 256, 100_000
 VERSION = (0, 1)
 STALE_ROUNDS = 5
 QUORUM = 0.67
+QUEUE = 1024  # messages a peer's queue holds
 #: Codes of the message types (fixed values of the wire format).
 MESSAGE_TYPES = {1: "gradient_update", 2: "model_checkpoint", 3: "consensus_vote", 4: "heartbeat", 5: "peer_discovery", 6: "topology_change", 7: "aggregation_result", 8: "round_start", 9: "round_complete", 255: "error"}
 
@@ -81,10 +84,48 @@ def staleness_weight(age: Column, decay: str = "exponential", tau: float = 2.0,
     return F.when((age < 0) | (age > most), 0.0).otherwise(weight)
 
 
-def quorum(votes: DataFrame, round_col: str, accept: Column, ratio: float = QUORUM) -> DataFrame:
-    """(round, votes, accepted, reached)"""
-    sums = votes.groupBy(F.col(round_col).alias("round")).agg(F.count(F.lit(1)).alias("votes"), F.count_if(accept).alias("accepted"))
-    return sums.withColumn("reached", F.col("accepted") / F.col("votes") >= ratio)
+def quorum(votes: DataFrame, round_col: str, accept: Column, ratio: float = QUORUM, weight: Column | None = None) -> DataFrame:
+    """(round, votes, accepted, reached), or with `weight` (round, votes, weight, accepted, reached) where accepted adds up weights."""
+    each = F.lit(1) if weight is None else weight
+    sums = votes.groupBy(F.col(round_col).alias("round")).agg(F.count(F.lit(1)).alias("votes"), F.sum(each).alias("weight"), F.coalesce(F.sum(F.when(accept, each)), F.lit(0)).alias("accepted"))
+    out = sums.withColumn("reached", F.coalesce(F.try_divide("accepted", "weight") >= ratio, F.lit(False)))
+    return out.drop("weight") if weight is None else out
+
+
+def mailbox(df: DataFrame, peer: Column, position: Column, limit: int = QUEUE) -> DataFrame:
+    """(peer, position, queued): messages in order of position, those behind the first `limit` of a peer refused.
+
+    Only counts per piece of `PIECE` positions are ordered per peer, so a busy peer is not one task's work.
+    """
+    rows = df.select(peer.alias("peer"), position.cast("long").alias("position")).dropna().withColumn("piece", F.floor(F.col("position") / PIECE))
+    before = Window.partitionBy("peer").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    heads = rows.groupBy("peer", "piece").agg(F.count(F.lit(1)).alias("n")).select("peer", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("peer", "piece").orderBy("position")
+    return rows.withColumn("place", F.row_number().over(inside)).join(heads, ["peer", "piece"]).select("peer", "position", (F.col("start") + F.col("place") <= limit).alias("queued"))
+
+
+def gossip(links: DataFrame, start: int) -> DataFrame:
+    """(peer, hops) of the peers a message reaches over links (source, target), by the round it comes in; each round is written to the shared folder."""
+    from fedlens.common import staged
+
+    edges = links.select("source", "target").dropna().distinct()
+    known = fresh = edges.sparkSession.range(start, start + 1).select(F.col("id").alias("peer"), F.lit(0).alias("hops"))
+    for hops in itertools.count(1):  # ends when a round reaches nobody new
+        ahead = edges.join(fresh, edges.source == fresh.peer).select(F.col("target").alias("peer")).distinct()
+        fresh = staged(ahead.join(known, "peer", "left_anti").withColumn("hops", F.lit(hops)), f"gossip-{hops}")
+        if fresh.isEmpty():
+            return known
+        known = known.unionByName(fresh)
+        if hops % 16 == 0:
+            known = staged(known, f"gossip-to-{hops}")
+
+
+LAST_SECOND = 4_102_444_800  # 2100
+
+
+def clock_error(seconds: Column, last: int = LAST_SECOND) -> Column:
+    """Why Unix seconds are no instant of a message: missing, before_epoch, too_far, or ok."""
+    return F.when(seconds.isNull(), "missing").when(seconds < 0, "before_epoch").when(seconds > last, "too_far").otherwise("ok")
 
 
 def liveness(df: DataFrame, peer: Column, ts_seconds: Column, gap_seconds: int = 10) -> DataFrame:

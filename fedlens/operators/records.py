@@ -113,6 +113,23 @@ def quality_changes(history: DataFrame, key: str, seq: str) -> DataFrame:
     return history.select(key, seq, (F.col("rows") - F.lag("rows").over(w)).alias("row_count_delta"), (F.col("schema_hash_v0") != F.lag("schema_hash_v0").over(w)).alias("schema_changed"))
 
 
+def histogram(df: DataFrame, by: list[str], value: str, bounds: list[float]) -> DataFrame:
+    """(by..., bucket, n, total): bucket k holds values above k of the bounds and not above the next."""
+    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(value)))
+    return df.groupBy(*by, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+
+
+def counters(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by..., n, total) of values that add up."""
+    return df.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"))
+
+
+def gauges(df: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
+    """(by..., at, value): the last value, of several at one instant the largest."""
+    last = df.groupBy(*by).agg(F.max(F.struct(F.col(at).alias("at"), F.col(value).alias("value"))).alias("__last"))
+    return last.select(*by, "__last.at", "__last.value")
+
+
 def attr(attrs: Column, name: str, kind: str = "string") -> Column:
     """A value of an attribute map as the type asked for, null if it isn't one."""
     return F.try_element_at(attrs, F.lit(name)).try_cast(kind)

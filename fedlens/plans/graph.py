@@ -159,6 +159,28 @@ def unsafe_nodes(nodes: DataFrame, trust: DataFrame) -> DataFrame:
     return nodes.select("node_no", "execution_trust").distinct().join(bad, "node_no", "left").select("node_no", (F.coalesce(F.col("execution_trust") != "core", F.lit(True)) | F.coalesce("bad", F.lit(False))).alias("unsafe"))
 
 
+def trust_rollup(nodes: DataFrame, trust: DataFrame) -> DataFrame:
+    """(node_no, unsafe) as `unsafe_nodes`, and of every node that reads, over any number of steps, what such a node makes.
+
+    Each round takes the nodes first reached in the last one a step further and is written to the shared folder.
+    """
+    from fedlens.common import asset_form, staged
+
+    made = nodes.select("node_no", F.explode("outputs").alias("raw")).select(F.col("node_no").alias("maker"), asset_form(F.col("raw")).alias("asset_key")).dropna().distinct()
+    steps = staged(made.join(node_inputs(nodes).select("node_no", "asset_key").distinct(), "asset_key").select("maker", "node_no").filter("maker <> node_no").distinct(), "trust-steps")
+    judged = staged(unsafe_nodes(nodes, trust).groupBy("node_no").agg(F.max("unsafe").alias("unsafe")), "trust-0")
+    bad = fresh = judged.filter("unsafe").select("node_no")
+    for step in itertools.count(1):  # ends when a round reaches no further node
+        ahead = steps.join(fresh.withColumnRenamed("node_no", "maker"), "maker").select("node_no").distinct()
+        fresh = staged(ahead.join(bad, "node_no", "left_anti"), f"trust-{step}")
+        if fresh.isEmpty():
+            break
+        bad = bad.unionByName(fresh)
+        if step % 16 == 0:
+            bad = staged(bad, f"trust-to-{step}")
+    return judged.select("node_no").join(bad.distinct().withColumn("__bad", F.lit(True)), "node_no", "left").select("node_no", F.coalesce("__bad", F.lit(False)).alias("unsafe"))
+
+
 def missing_inputs(nodes: DataFrame, registry: DataFrame) -> DataFrame:
     """(node_no, asset_key): the first input of a node that no registry entry has."""
     gone = node_inputs(nodes).join(registry.select("asset_key"), "asset_key", "left_anti")

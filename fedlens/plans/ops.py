@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Op = Callable[[dict, list[DataFrame]], DataFrame]
@@ -121,12 +121,61 @@ def aggregate(params: dict, inputs: list[DataFrame]) -> DataFrame:
 
 @op("sort")
 def sort(params: dict, inputs: list[DataFrame]) -> DataFrame:
-    """By expressions, each with DESC behind it or not; with `limit` only the first rows."""
+    """By expressions, each with DESC behind it or not; with `offset` and `limit` only some of the first rows."""
     order = [F.expr(e[:-5]).desc() if e.upper().endswith(" DESC") else F.expr(e) for e in params["by"]]
     df = one(inputs).orderBy(*order)
+    df = df.offset(params["offset"]) if "offset" in params else df
     return df.limit(params["limit"]) if "limit" in params else df
 
 
+@op("ingest")
+def ingest(params: dict, inputs: list[DataFrame]) -> DataFrame:
+    """A source: any format Spark reads (parquet, csv, json, orc, jdbc, ...) from `path`, with `options` and a `schema`."""
+    if inputs:
+        raise OpError("ingest takes no input")
+    reader = SparkSession.active().read.format(params.get("format", "parquet")).options(**params.get("options", {}))
+    reader = reader.schema(params["schema"]) if params.get("schema") else reader
+    return reader.load(params["path"]) if params.get("path") else reader.load()
+
+
+@op("persist")
+def persist(params: dict, inputs: list[DataFrame]) -> DataFrame:
+    """Write the input to `path` and go on from what was written; `by` names columns to partition by."""
+    df, kind, options = one(inputs), params.get("format", "parquet"), params.get("options", {})
+    df.write.format(kind).options(**options).mode(params.get("mode", "error")).partitionBy(*params.get("by", [])).save(params["path"])
+    return df.sparkSession.read.format(kind).options(**options).schema(df.schema).load(params["path"])
+
+
+@op("publish")
+def publish(params: dict, inputs: list[DataFrame]) -> DataFrame:
+    """Make the input known under a name to SQL of the session, and pass it on."""
+    df = one(inputs)
+    df.createOrReplaceTempView(params["name"])
+    return df
+
+
+OPS["export"] = persist
+
+
+@op("interval_join")
+def interval_join(params: dict, inputs: list[DataFrame]) -> DataFrame:
+    """Left rows with the right rows of the same keys from `before_seconds` before to `after_seconds` after them.
+
+    Time is cut into bins as wide as the interval and a right row goes to its bin alone, a left row to those its
+    interval meets, so rows are compared within keys and bins, not within keys.
+    """
+    left, right = inputs
+    keys, at, low, high = params["keys"], params["at"], params["before_seconds"], params["after_seconds"]
+    width, micros = max(1, low + high) * 1_000_000, lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    binned = lambda c: F.floor(c / F.lit(width))
+    l = left.withColumn("__at", micros(at)).withColumn("__bin", F.explode(F.sequence(binned(F.col("__at") - low * 1_000_000), binned(F.col("__at") + high * 1_000_000))))  # noqa: E741
+    r = right.withColumn("__when", micros(params.get("right_at", at)))
+    taken = [c for c in right.columns if c not in (*keys, *left.columns)]
+    r = r.select(*keys, *taken, "__when", binned(F.col("__when")).alias("__bin"))
+    near = l.join(r, [*keys, "__bin"]).filter(F.col("__when").between(F.col("__at") - low * 1_000_000, F.col("__at") + high * 1_000_000))
+    return near.select(*left.columns, *taken)
+
+
 @op("distinct")
 def distinct(_: dict, inputs: list[DataFrame]) -> DataFrame:
     return one(inputs).distinct()

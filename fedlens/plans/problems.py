@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,16 @@ def p3_manifests(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified(table(spark, d, "raw_records"), "manifest")
 
 
+def p3_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind, the rows of its table and how many of its cells hold a value: as many as valid lines and their values other than null."""
+    parts = []
+    for kind in ("span", "materialization", "manifest"):
+        rows = drift.unified(table(spark, d, "raw_records"), kind)
+        cells = [F.when(F.col(f"`{c}`").isNotNull(), 1).otherwise(0) for c in rows.columns[2:]]
+        parts.append(rows.select(reduce(lambda a, b: a + b, cells, F.lit(0)).alias("held")).agg(F.count(F.lit(1)).alias("rows"), F.sum("held").alias("values")).select(F.lit(kind).alias("record_kind"), "rows", "values"))
+    return reduce(DataFrame.unionByName, parts).filter("rows > 0")
+
+
 UNIT = "\x1f"  # the separator of units, which ids don't hold
 
 
@@ -106,7 +118,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(refs, targets, ["ref_table", "ref_field"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_missing_numbers, p2_found, p2_periods, p3_found, p3_fields, p3_spans, p3_materializations, p3_manifests, p5_found, p5_paths, p5_descendants, p5_all_descendants, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_missing_numbers, p2_found, p2_periods, p3_found, p3_fields, p3_kept, p3_spans, p3_materializations, p3_manifests, p5_found, p5_paths, p5_descendants, p5_all_descendants, p7_found, p7_report)}
 
 _IDENT = """ids AS (SELECT regexp_replace(lower(trim(sender)), '^0x', '') AS k, sequence AS s, CASE WHEN ts >= 100000000000 THEN ts // 1000 ELSE ts END AS t, arrival FROM messages
  WHERE sender IS NOT NULL AND trim(sender) <> '' AND ts IS NOT NULL AND sequence IS NOT NULL)"""
@@ -130,6 +142,9 @@ ORACLE = {
     "p1_missing_numbers": f"WITH {_IDENT}, u AS (SELECT DISTINCT k, s FROM ids), g AS (SELECT k, s, lead(s) OVER (PARTITION BY k ORDER BY s) AS nx FROM u) SELECT k AS sender, s + 1 AS missing_from, nx - 1 AS missing_to FROM g WHERE nx > s + 1",
     "p2_found": f"WITH {_EDGES} SELECT e AS trace_id, r AS gap_start, s AS gap_end FROM reach WHERE s > r",
     "p2_periods": f"WITH {_EDGES}, runs AS (SELECT e, s, f, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (PARTITION BY e ORDER BY s, f ROWS UNBOUNDED PRECEDING) AS run FROM reach) SELECT e AS trace_id, min(s) AS period_start, max(f) AS period_end FROM runs GROUP BY e, run",
+    "p3_kept": """WITH ok AS (SELECT record_kind, row_number() OVER () AS r, CAST(body AS JSON) AS j FROM raw_records WHERE body <> '' AND json_valid(body) AND json_type(body) = 'OBJECT'),
+ k AS (SELECT record_kind, j, unnest(json_keys(j)) AS f FROM ok), n AS (SELECT record_kind, count(*) AS rows FROM ok GROUP BY 1)
+ SELECT record_kind, rows, count(*) FILTER (json_type(j, '$."' || f || '"') <> 'NULL') AS values FROM k JOIN n USING (record_kind) GROUP BY ALL""",
     "p3_fields": """WITH ok AS (SELECT file_name, CAST(body AS JSON) AS j FROM raw_records WHERE body <> '' AND json_valid(body) AND json_type(body) = 'OBJECT'),
  k AS (SELECT file_name, j, unnest(json_keys(j)) AS f FROM ok), t AS (SELECT DISTINCT file_name, f, json_type(j, '$."' || f || '"') AS ty FROM k),
  m AS (SELECT file_name, f, CASE ty WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'HUGEINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' END AS ty FROM t WHERE ty <> 'NULL'),
