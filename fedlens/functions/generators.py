@@ -6,6 +6,8 @@ import hashlib
 import struct
 
 import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Constants of the published SplitMix64 generator (fixed values).
 GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -44,3 +46,11 @@ def linear_forward(parameters: np.ndarray, inputs: int, x: np.ndarray) -> np.nda
 def mock_peer(index: int) -> str:
     """The id of the index-th test peer."""
     return hashlib.sha256((b"mock-peer-v1:" + struct.pack("<Q", index)).ljust(40, b"\0")).hexdigest()
+
+
+def attacked_round(spark: SparkSession, n: int, faulty: int, dim: int, hostile: float, seed: int, around: float = 1.0, spread: float = 0.02) -> DataFrame:
+    """(round_id, pos, gradients): n vectors of which the last `faulty` hold `hostile` everywhere and the others values within `spread` of `around`."""
+    draw = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(1_000_001)) / 1_000_000
+    benign = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.lit(around - spread) + draw(i) * (2 * spread)).cast("float"))
+    vector = F.when(F.col("id") < n - faulty, benign).otherwise(F.array_repeat(F.lit(hostile).cast("float"), dim))
+    return spark.range(n).select(F.lit(seed).cast("long").alias("round_id"), F.col("id").alias("pos"), vector.alias("gradients"))

@@ -30,7 +30,7 @@ def clock_ok(ts: Column, now: Column, skew: int = SKEW_SECONDS) -> Column:
     return F.coalesce(F.abs(now - ts) <= skew, F.lit(False))
 
 
-def reject_reason(df: DataFrame, skew: int = SKEW_SECONDS) -> Column:
+def reject_reason(df: DataFrame, skew: int = SKEW_SECONDS, signed: bool = True) -> Column:
     """Why a message is refused before its sequence is looked at, or null. Columns as in the messages table."""
     from fedlens.common import sender_form
 
@@ -39,8 +39,8 @@ def reject_reason(df: DataFrame, skew: int = SKEW_SECONDS) -> Column:
         F.when(~((F.col("version_major") == VERSION[0]) & (F.col("version_minor") == VERSION[1])) | F.col("version_major").isNull() | F.col("version_minor").isNull(), "unsupported_version")
         .when(~clock_ok(F.col("ts"), F.col("now"), skew), "expired")
         .when(key.isNull() | ~key.rlike("^[0-9a-f]{64}$") | key.rlike("^0*$"), "invalid_sender")
-        .when(F.col("sig_valid").isNull(), "missing_signature")
-        .when(~F.col("sig_valid"), "invalid_signature")
+        .when(F.col("sig_valid").isNull() & F.lit(signed), "missing_signature")
+        .when(~F.col("sig_valid") & F.lit(signed), "invalid_signature")
     )
 
 
@@ -63,11 +63,11 @@ def sequence_verdict(df: DataFrame, peer: Column, sequence: Column, order: Colum
     return joined.select(*[joined[c] for c in df.columns], verdict.alias("sequence_verdict")).unionByName(bare.select(*df.columns, F.lit(None).cast("string").alias("sequence_verdict")))
 
 
-def verified(df: DataFrame, skew: int = SKEW_SECONDS, window: int = WINDOW) -> DataFrame:
+def verified(df: DataFrame, skew: int = SKEW_SECONDS, window: int = WINDOW, signed: bool = True) -> DataFrame:
     """`df` with `verdict`: ok or the first reason to refuse, the sequence check last and on the rest only."""
     from fedlens.common import sender_form
 
-    checked = df.withColumn("verdict", reject_reason(df, skew))
+    checked = df.withColumn("verdict", reject_reason(df, skew, signed))
     passed = sequence_verdict(checked.filter("verdict is null").drop("verdict"), sender_form(F.col("sender")), F.col("sequence"), F.col("arrival"), window).withColumnRenamed("sequence_verdict", "verdict")
     return checked.filter("verdict is not null").unionByName(passed)
 

@@ -353,12 +353,3 @@ def pipeline(df: DataFrame, round_col: str, sender: str, vec: str, how: str = "t
     """(round, vec): aggregate, then compress and restore if `keep` is given."""
     out = gathered(AGGREGATORS[how][0](df, round_col, sender, vec))
     return out if keep is None else out.withColumn("vec", dense(top_k(F.col("vec"), keep), F.size("vec")))
-
-
-def attack_rounds(spark, n: int, faulty: int, dim: int, kind: str, seed: int) -> DataFrame:
-    """(round_id, pos, gradients): benign vectors of 1.0 +- 0.02 and `faulty` hostile ones of the kind."""
-    hostile = {"outlier": 50.0, "sign_flip": -3.0, "collusion": 7.5, "nan": float("nan"), "inf": float("inf")}[kind]
-    benign = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.lit(0.98) + F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(1_000_001)) / 1_000_000 * 0.04).cast("float"))
-    return spark.range(n).select(F.lit(seed).cast("long").alias("round_id"), F.col("id").alias("pos"), F.when(F.col("id") < n - faulty, benign).otherwise(F.array_repeat(F.lit(hostile).cast("float"), dim)).alias("gradients"))
-
-

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fedlens.operators import messages
+
 MAX_FANOUT, MAX_LAYERS, MAX_WINDOW, MESH_PEERS = 64, 16, 256, 1000
 
 
@@ -64,6 +66,17 @@ class ReplayConfig:
             raise ConfigError("window_out_of_range")
 
 
+@dataclass(frozen=True)
+class SecurityConfig:
+    """What `messages.verified` asks of a message."""
+
+    require_signature: bool = True
+    replay: ReplayConfig = field(default_factory=ReplayConfig)
+
+    def verified(self, df: DataFrame) -> DataFrame:
+        return messages.verified(df, self.replay.skew_seconds, self.replay.window, self.require_signature)
+
+
 @dataclass(frozen=True)
 class RunConfig:
     topology: Topology = field(default_factory=Topology)

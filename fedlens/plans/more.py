@@ -140,6 +140,27 @@ def msg_weighted_quorum(spark: SparkSession, d: str) -> DataFrame:
 _PEER = "CASE WHEN lower(trim(sender)) LIKE '0x%' THEN substr(lower(trim(sender)), 3) ELSE lower(trim(sender)) END"
 
 
+@query(f"""WITH m AS (SELECT *, {_PEER} AS k FROM messages),
+ r AS (SELECT *, CASE WHEN version_major IS DISTINCT FROM 0 OR version_minor IS DISTINCT FROM 1 THEN 'unsupported_version' WHEN ts IS NULL OR now IS NULL OR abs(now - ts) > 3600 THEN 'expired' WHEN k IS NULL OR NOT regexp_full_match(k, '[0-9a-f]{{64}}') OR regexp_full_match(k, '0*') THEN 'invalid_sender' END AS reason FROM m),
+ w AS (SELECT *, max(sequence) OVER (PARTITION BY k ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev, row_number() OVER (PARTITION BY k, sequence ORDER BY arrival) AS nth FROM r WHERE reason IS NULL)
+ SELECT arrival, reason AS verdict FROM r WHERE reason IS NOT NULL UNION ALL SELECT arrival, CASE WHEN prev IS NULL THEN 'ok' WHEN sequence <= prev - 256 THEN 'too_old' WHEN nth > 1 THEN 'replay' ELSE 'ok' END FROM w""")
+def msg_lenient(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts without signatures, an hour of skew and the widest window."""
+    rules = config.SecurityConfig(require_signature=False, replay=config.ReplayConfig(window=256, skew_seconds=3600))
+    return rules.verified(table(spark, d, "messages")).select("arrival", "verdict")
+
+
+@query("SELECT 20 AS vectors, 17 AS benign, true AS median_holds, true AS mean_fails")
+def gen_attacked_round(spark: SparkSession, d: str) -> DataFrame:
+    """A made round with three hostile vectors: the median stays with the benign ones, the mean does not."""
+    r = generators.attacked_round(spark, 20, 3, 32, 90.0, seed=5)
+    far = lambda df: df.agg(F.max(F.abs(F.col("value") - 1.0))).first()[0]
+    args = ("round_id", "pos", "gradients")
+    median, mean = far(vectors.coordinate_median(r, *args)), far(vectors.fedavg(r, *args))
+    near = F.forall("gradients", lambda x: F.abs(x - 1.0) <= 0.0201)
+    return r.agg(F.count(F.lit(1)).alias("vectors"), F.count_if(near).alias("benign"), F.lit(median < 0.03).alias("median_holds"), F.lit(mean > 1).alias("mean_fails"))
+
+
 @query(f"WITH m AS (SELECT {_PEER} AS peer, arrival, row_number() OVER (PARTITION BY {_PEER} ORDER BY arrival) AS n FROM messages WHERE sender IS NOT NULL AND trim(sender) <> '') SELECT peer, min(arrival) AS first, count(*) FILTER (n <= 50) AS queued, count(*) FILTER (n > 50) AS refused FROM m GROUP BY 1")
 def msg_mailbox(spark: SparkSession, d: str) -> DataFrame:
     """A queue of 50 per peer: its first message, how many it holds and how many it refused."""

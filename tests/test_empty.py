@@ -21,7 +21,7 @@ def empty(spark, tmp_path_factory):
 
 
 #: Queries that bring their own rows.
-OWN = {"vec_aggregators": 4, "msg_topologies": 4, "msg_gossip": 1, "msg_signatures": 60, "gen_split_mix": 500, "run_report": 6, "run_reuse": 6, "run_registry": 7, "run_lineage": 5, "run_events": 2, "run_nodes": 6, "run_predicted": 2}
+OWN = {"vec_aggregators": 4, "msg_topologies": 4, "msg_gossip": 1, "msg_signatures": 60, "gen_split_mix": 500, "gen_attacked_round": 1, "run_report": 6, "run_reuse": 6, "run_registry": 7, "run_lineage": 5, "run_events": 2, "run_nodes": 6, "run_predicted": 2}
 
 
 @pytest.mark.parametrize("name", [*problems.QUERIES, *catalogue.QUERIES])

@@ -279,3 +279,14 @@ def test_formats_round_trip(spark, tmp_path):
         df.write.format(fmt).option("header", True).save(path)
         back = spark.read.format(fmt).option("header", True).schema(df.schema).load(path)
         assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_the_example_runs(spark, tmp_path):
+    from pathlib import Path
+
+    from examples import pipeline
+
+    if not Path("/root/testdata/sf0.001").exists():
+        pytest.skip("no test tables")
+    page = Path(pipeline.main("/root/testdata/sf0.001", str(tmp_path))).read_text()
+    assert "dataset://sums" in page and "Unsafe nodes</h2><ul><li>none" in page

@@ -5,6 +5,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from fedlens.functions.generators import attacked_round
 from fedlens.operators import vectors as V
 
 SCHEMA = "round_id long, pos long, gradients array<float>"
@@ -58,9 +59,9 @@ def test_bad_rounds(spark):
     assert V.fedavg(frame(spark), *ARGS).count() == 0
 
 
-@pytest.mark.parametrize("kind, n, f, dim", [("outlier", 13, 3, 64), ("collusion", 15, 4, 64), ("sign_flip", 11, 2, 32)])
-def test_robust_aggregates_stay_nearer_than_the_mean(spark, kind, n, f, dim):
-    df = V.attack_rounds(spark, n, f, dim, kind, 7)
+@pytest.mark.parametrize("hostile, n, f, dim", [(80.0, 14, 3, 48), (11.0, 17, 4, 40), (-2.0, 12, 2, 24)])
+def test_robust_aggregates_stay_nearer_than_the_mean(spark, hostile, n, f, dim):
+    df = attacked_round(spark, n, f, dim, hostile, 7)
     error = lambda out: sum((v - 1) ** 2 for v in column(out)) ** 0.5
     assert max(error(V.coordinate_median(df, *ARGS)), error(V.trimmed_mean(df, *ARGS, ratio=0.28))) < error(V.fedavg(df, *ARGS))
     best = V.krum(df, *ARGS, faulty=f).collect()
@@ -69,7 +70,7 @@ def test_robust_aggregates_stay_nearer_than_the_mean(spark, kind, n, f, dim):
 
 
 def test_nan_shows_in_the_mean(spark):
-    assert any(not math.isfinite(v) for v in column(V.fedavg(V.attack_rounds(spark, 9, 2, 4, "nan", 1), *ARGS)))
+    assert any(not math.isfinite(v) for v in column(V.fedavg(attacked_round(spark, 9, 2, 4, math.nan, 1), *ARGS)))
 
 
 def test_krum_limits_and_ties(spark):
