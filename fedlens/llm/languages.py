@@ -198,9 +198,9 @@ def calibrated(score: np.ndarray, words_in: np.ndarray, labels: np.ndarray) -> t
     return found
 
 
-def certainty(score: np.ndarray, lang: int, n: int, scale: tuple[float, float]) -> float:
-    """Calibrated posterior of a language for a part of `n` words, all languages equally likely before."""
-    return float(softmax(score / (scale[0] * max(1, n) ** scale[1]))[lang])
+def certainties(score: np.ndarray, lang: np.ndarray, words_in: np.ndarray, scale: tuple[float, float]) -> np.ndarray:
+    """Calibrated posteriors of the languages `lang` of parts with these scores (parts, languages) and word counts, all languages equally likely before."""
+    return softmax(score / (scale[0] * np.maximum(1, words_in)[:, None] ** scale[1]))[np.arange(len(score)), lang]
 
 
 def label_forms(languages: DataFrame) -> dict[str, str]:
@@ -276,7 +276,7 @@ def segments(docs: DataFrame, languages: DataFrame, id_col: str = "doc_id", text
             ends = np.cumsum([len(s) for s in found]) if found else np.zeros(0, dtype=int)
             sums = np.concatenate([np.zeros((1, len(codes))), np.cumsum(per_word, axis=0)])
             score = sums[ends] - sums[np.concatenate([[0], ends[:-1]]).astype(int)] if len(ends) else np.zeros((0, len(codes)))
-            rows, at = [], 0
+            rows, part_scores, part_words, at = [], [], [], 0
             for i, label, doc in zip(b.column("i").to_pylist(), b.column("l").to_pylist(), cut, strict=True):
                 own = score[at : at + len(doc)]
                 counts = [len(found[at + k]) for k in range(len(doc))]
@@ -288,8 +288,16 @@ def segments(docs: DataFrame, languages: DataFrame, id_col: str = "doc_id", text
                 code = labelled(label, forms)
                 for k, (lo, hi) in enumerate(zip(starts, starts[1:], strict=False)):
                     lang = int(path[lo])
-                    rows.append((i, code, k + 1, len(starts) - 1, codes[lang], certainty(own[lo:hi].sum(0), lang, sum(counts[lo:hi]), scale), hi - lo, int(lo) + 1, sum(map(len, doc[lo:hi]))))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), FIELDS.types, strict=True)] if rows else [pa.array([], t) for t in FIELDS.types], schema=FIELDS)
+                    part_scores.append(own[lo:hi].sum(0))
+                    part_words.append(sum(counts[lo:hi]))
+                    rows.append((i, code, k + 1, len(starts) - 1, lang, hi - lo, int(lo) + 1, sum(map(len, doc[lo:hi]))))
+            if not rows:
+                yield pa.RecordBatch.from_arrays([pa.array([], t) for t in FIELDS.types], schema=FIELDS)
+                continue
+            *head, langs, held, first, size = zip(*rows, strict=True)
+            sure = certainties(np.stack(part_scores), np.array(langs), np.array(part_words), scale)
+            columns = [*head, [codes[x] for x in langs], sure, held, first, size]
+            yield pa.RecordBatch.from_arrays([pa.array(x if isinstance(x, np.ndarray) else list(x), t) for x, t in zip(columns, FIELDS.types, strict=True)], schema=FIELDS)
 
     return docs.select(c(id_col).cast("long").alias("i"), c(text_col).cast("string").alias("t"), c(label_col).cast("string").alias("l")).mapInArrow(run, SCHEMA)
 

@@ -73,7 +73,7 @@ def test_held_out_accuracy(spark, tables):
             short = found[:2]
             score = model.scores(short).sum(0)
             lang = int(score.argmax())
-            sure[codes[lang] == code].append(L.certainty(score, lang, len(short), scale))
+            sure[codes[lang] == code].append(L.certainties(score[None], np.array([lang]), np.array([len(short)]), scale)[0])
     assert total > 500 and right / total > 0.85  # some target_lang are wrong and some texts mixed
     assert np.mean(sure[False]) < np.mean(sure[True]) - 0.05  # of the first two words alone, wrong ones look less certain
 
