@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fedlens.common import NANOS_PER_DAY, staged, table
-from fedlens.llm import languages, mixing, neighbours, packing, percentiles, tokens
+from fedlens.llm import distinct, languages, mixing, neighbours, packing, percentiles, tokens
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +57,7 @@ FINITE = "value is not null and not isnan(value) and abs(value) < double('infini
 
 def _measurements(spark: SparkSession, d: str) -> DataFrame:
     """Finite values with name, unit and day; rows repeated but for ingested_at are one measurement."""
-    rows = table(spark, d, "metrics").filter(FINITE).select("ts_unix_nanos", "trace_id", "span_id", "name", "unit", "value").distinct()
+    rows = distinct.distinct_rows(table(spark, d, "metrics").filter(FINITE).select("ts_unix_nanos", "trace_id", "span_id", "name", "unit", "value"))
     return rows.select("name", "unit", F.floor(F.col("ts_unix_nanos") / F.lit(NANOS_PER_DAY)).cast("int").alias("day"), "value")
 
 
