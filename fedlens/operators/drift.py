@@ -73,9 +73,13 @@ def fields(summary: DataFrame) -> DataFrame:
 
 
 def numbered(valid: DataFrame) -> DataFrame:
-    """(producer, kind, file_name, written_at, place): the files of each producer in the order they were written."""
-    w = Window.partitionBy("producer", "kind").orderBy("written_at", "file_name")
-    return valid.groupBy(*FILE).agg(F.min("written_at").alias("written_at")).withColumn("place", F.row_number().over(w))
+    """(producer, kind, file_name, written_at, place): the files of each producer in the order they were written, ordered within days and days within a producer."""
+    each = valid.groupBy(*FILE).agg(F.min("written_at").alias("written_at")).withColumn("day", F.coalesce(F.unix_date(F.col("written_at").cast("date")), F.lit(-(2**31))))
+    before = Window.partitionBy("producer", "kind").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = each.groupBy("producer", "kind", "day").agg(F.count(F.lit(1)).alias("n")).select("producer", "kind", "day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("producer", "kind", "day").orderBy("written_at", "file_name")
+    placed = each.withColumn("nth", F.row_number().over(inside)).join(days, ["producer", "kind", "day"])
+    return placed.select(*FILE, "written_at", (F.col("start") + F.col("nth")).cast("int").alias("place"))
 
 
 def words_of(text: Column, pattern: str) -> Column:

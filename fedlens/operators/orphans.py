@@ -13,8 +13,9 @@ interval was live throughout have none; only the references of the few others ar
 parts are united.
 
 Scale: at most 1 / `SHARE` x `INTERVALS` rows are broadcast. The intervals of a key are merged to disjoint ones
-first, so a key removed and recorded again a few times has a few; a target table full of repeated rows
-collapses in the map tasks. A key beyond `INTERVALS` goes the shuffled way, however heavy it is.
+first, so a key removed and recorded again a few times has a few, and a reference meets only those of its month;
+a target table full of repeated rows collapses in the map tasks. A key beyond `INTERVALS` goes the shuffled
+way, however heavy it is.
 
 Defined results: null and blank references are none; a reference without an instant is an orphan only if its
 key is never live; repeated rows of a reference are one for `orphan_report`.
@@ -88,7 +89,9 @@ def _parts(references: DataFrame, targets: DataFrame, by: list[str], share: floa
     same = (c("kind") == c("__kind")) & (c("key") == c("__key"))
     gone = rest.join(spells, same & touches, "left_anti")
     partly = rest.join(spells, same & touches & ~throughout, "left_semi").join(spells, same & throughout, "left_anti")
-    return busy, gone, partly.select(*KEY, *by, "__period").join(_lists(live), KEY)
+    near = partly.select(*KEY, *by, "__period", "__first", "__last").join(spells, same & touches)  # of a key's intervals those of the period
+    mixed = near.groupBy(*KEY, *by, "__period").agg(F.collect_list(F.struct(c("__since").alias("since"), c("__until").alias("until"))).alias("__live"))
+    return busy, gone, mixed
 
 
 def _checked(references: DataFrame, periods: DataFrame) -> DataFrame:

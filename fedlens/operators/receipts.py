@@ -151,6 +151,12 @@ def receive_in_turn(messages: DataFrame, slices: int = 2, order: str = "arrival"
 
 
 def missing_numbers(ranges: DataFrame) -> DataFrame:
-    """The holes between a sender's ranges: (sender, missing_from, missing_to)."""
-    w = Window.partitionBy("sender").orderBy("lo")
-    return joined_ranges(ranges).withColumn("next", F.lead("lo").over(w)).filter("next is not null").select("sender", (F.col("hi") + 1).alias("missing_from"), (F.col("next") - 1).alias("missing_to"))
+    """The holes between a sender's ranges: (sender, missing_from, missing_to).
+
+    Ranges are ordered within their block, and only one row per block within a sender.
+    """
+    blocks = ranges.groupBy("sender", "block").agg(F.min("lo").alias("head"))
+    after = blocks.select("sender", "block", F.lead("head").over(Window.partitionBy("sender").orderBy("block")).alias("after"))
+    inside = F.lead("lo").over(Window.partitionBy("sender", "block").orderBy("lo"))
+    rows = ranges.withColumn("inside", inside).join(after, ["sender", "block"]).withColumn("next", F.coalesce("inside", "after"))
+    return rows.filter(F.col("next") > F.col("hi") + 1).select(unpacked(F.col("sender")).alias("sender"), (F.col("hi") + 1).alias("missing_from"), (F.col("next") - 1).alias("missing_to"))

@@ -97,3 +97,10 @@ def test_own_names():
 
 def test_no_producer_is_one_producer(spark):
     assert run(frame(spark, [("a", None, 1, [{"x": 1}]), ("b", None, 2, [{"y": True}])])) == [("b", "added", "y", ""), ("b", "removed", "x", "")]
+
+
+def test_files_are_numbered_over_days_and_without_a_date(spark):
+    df = frame(spark, [("c", "p", 30, [{"x": 1}]), ("a", "p", 5, [{"x": 1}]), ("b", "p", 5, [{"x": 1}]), ("d", "p", 100, [{"x": 1}]), ("e", "q", 1, [{"x": 1}])])
+    none = df.filter("file_name = 'a'").selectExpr("'z' as file_name", "record_kind", "producer", "cast(null as timestamp) as written_at", "line_no", "body", "field", "type")
+    got = drift.numbered(drift.lines(df.unionByName(none))).collect()
+    assert sorted((r["producer"], r["place"], r["file_name"]) for r in got) == [("p", 1, "z"), ("p", 2, "a"), ("p", 3, "b"), ("p", 4, "c"), ("p", 5, "d"), ("q", 1, "e")]
