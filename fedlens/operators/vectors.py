@@ -231,6 +231,19 @@ AGGREGATORS: dict[str, tuple[Callable[..., DataFrame], float, str]] = {
 }
 
 
+def register_aggregator(name: str, f: Callable[..., DataFrame], tolerance: float = 0.0, complexity: str = "linear") -> None:
+    """Make an aggregator of one's own known to `pipeline` under a name.
+
+    It is called as f(df, round_col, sender, vec), `vec` an array column, and gives (round, i, value): a row per
+    coordinate, from 0, of each round it accepts. `tolerance` is the share of hostile vectors it bears, below 0.5.
+    """
+    if name in AGGREGATORS or not name:
+        raise ValueError("aggregator_exists" if name else "aggregator_unnamed")
+    if not 0 <= tolerance <= 0.5:
+        raise ValueError("bad_tolerance")
+    AGGREGATORS[name] = (f, tolerance, complexity)
+
+
 def gathered(long: DataFrame) -> DataFrame:
     """(round, vec) from (round, i, value)."""
     return long.groupBy("round").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"].cast("float")).alias("vec"))

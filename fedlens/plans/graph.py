@@ -187,6 +187,15 @@ def missing_inputs(nodes: DataFrame, registry: DataFrame) -> DataFrame:
     return gone.groupBy("node_no").agg(F.min_by("asset_key", "pos").alias("asset_key"))
 
 
+def unknown_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(edge_no, side, node_id): the ends of edges that no node has, in normal form; an end that is null or blank has no id."""
+    from fedlens.common import plain
+
+    ends = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), plain(F.col(f"{side}_node_id")).alias("node_id")) for side in ("from", "to")]))
+    each = edges.select("edge_no", ends.alias("e")).select("edge_no", "e.side", "e.node_id").distinct()
+    return each.join(nodes.select(plain(F.col("node_id")).alias("node_id")).dropna().distinct(), "node_id", "left_anti").select("edge_no", "side", "node_id")
+
+
 def in_degrees(edges: DataFrame) -> DataFrame:
     """(node_id, degree) over distinct edges."""
     from fedlens.common import plain

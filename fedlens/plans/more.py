@@ -65,7 +65,21 @@ def vec_random_sparse(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'fedavg' AS aggregator, CAST(0.0 AS DOUBLE) AS tolerance, 'linear' AS complexity UNION ALL SELECT 'trimmed_mean', 0.2, 'linear' UNION ALL SELECT 'median', 0.5, 'linear' UNION ALL SELECT 'krum', 0.33, 'quadratic'")
 def vec_aggregators(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(n, float(t), c) for n, (_, t, c) in vectors.AGGREGATORS.items()], "aggregator string, tolerance double, complexity string")
+    return spark.createDataFrame([(n, float(t), c) for n, (_, t, c) in vectors.AGGREGATORS.items() if n != "midrange"], "aggregator string, tolerance double, complexity string")
+
+
+@query(f"WITH {LONG} SELECT CAST(label AS BIGINT) AS label, CAST(i AS INTEGER) AS i, round(CAST(CAST((max(CAST(g AS DOUBLE)) + min(CAST(g AS DOUBLE))) / 2 AS FLOAT) AS DOUBLE), 6) AS value FROM long GROUP BY ALL")
+def vec_custom(spark: SparkSession, d: str) -> DataFrame:
+    """An aggregator of one's own, half way between the extremes, in the pipeline."""
+
+    def midrange(df: DataFrame, round_col: str, sender: str, vec: str) -> DataFrame:
+        rows = vectors.long_form(df, round_col, sender, vec)
+        return rows.groupBy("round", "i").agg(((F.max(F.col("value").cast("double")) + F.min(F.col("value").cast("double"))) / 2).alias("value"))
+
+    if "midrange" not in vectors.AGGREGATORS:
+        vectors.register_aggregator("midrange", midrange)
+    out = vectors.pipeline(table(spark, d, "embeddings"), *ROUND, how="midrange")
+    return out.select(F.col("round").cast("long").alias("label"), F.posexplode("vec").alias("i", "v")).select("label", "i", F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
 # records
@@ -361,7 +375,21 @@ def run_predicted(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "asset_key string, same boolean")
 
 
+@query("SELECT lower(trace_id) AS trace_id, lower(span_id) AS span_id, name FROM spans WHERE regexp_full_match(coalesce(trace_id, ''), '[0-9a-fA-F]{32}') AND NOT regexp_full_match(trace_id, '0*') AND regexp_full_match(coalesce(span_id, ''), '[0-9a-fA-F]{16}') AND NOT regexp_full_match(span_id, '0*')")
+def run_emitted(spark: SparkSession, d: str) -> DataFrame:
+    """The spans within bounds, sent through an emitter into a store and read back."""
+    b = _bundle(spark)
+    spans = table(spark, d, "spans").filter(records.record_error("span").isNull()).drop("ingested_at")
+    store.BundleEmitter(b).spans(spans)
+    return b.log("spans.ndjson").select(F.lower("trace_id").alias("trace_id"), F.lower("span_id").alias("span_id"), "name")
+
+
 # pipelines
+@query("WITH e AS (SELECT DISTINCT edge_no, unnest(['from', 'to']) AS side, unnest([from_node_id, to_node_id]) AS raw FROM edges), n AS (SELECT DISTINCT edge_no, side, CASE WHEN trim(raw) <> '' THEN lower(trim(raw)) END AS node_id FROM e) SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM nodes WHERE lower(trim(nodes.node_id)) = n.node_id)")
+def dag_unknown_ends(spark: SparkSession, d: str) -> DataFrame:
+    return graph.unknown_ends(table(spark, d, "nodes"), table(spark, d, "edges"))
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders")
 def dag_passthrough(spark: SparkSession, d: str) -> DataFrame:
     s = Session(spark)

@@ -301,3 +301,29 @@ class Bundle:
     def materializations(self) -> DataFrame:
         """All materialisations as V2, in order of ts_unix_nanos and record_seq."""
         return records.to_v2(placed(self.log("datasets/materializations.ndjson")), F.col("position")).orderBy("ts_unix_nanos", "record_seq")
+
+
+class Emitter:
+    """Where records of a run go: subclass it for another place than a bundle; rows are a DataFrame or a list of dicts."""
+
+    def emit(self, log: str, rows: DataFrame | list[dict]) -> None:
+        raise NotImplementedError
+
+    def spans(self, rows: DataFrame | list[dict]) -> None:
+        self.emit("spans.ndjson", rows)
+
+    def events(self, rows: DataFrame | list[dict]) -> None:
+        self.emit("events.ndjson", rows)
+
+    def metrics(self, rows: DataFrame | list[dict]) -> None:
+        self.emit("metrics.ndjson", rows)
+
+
+class BundleEmitter(Emitter):
+    """Into the logs of a bundle, which checks their bounds."""
+
+    def __init__(self, bundle: Bundle):
+        self.bundle = bundle
+
+    def emit(self, log: str, rows: DataFrame | list[dict]) -> None:
+        self.bundle.append(log, rows)

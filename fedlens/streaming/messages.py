@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -75,6 +75,17 @@ def counts_per_window(stream: DataFrame, length: str = "1 minute", slide: str |
     return sums.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "message_type", "messages")
 
 
+def received(spark: SparkSession, source: str, schema: str | None = None, **options: object) -> DataFrame:
+    """A stream from any source Spark has (kafka, socket, rate, files, ...); bound a batch by the source's own option, such as maxOffsetsPerTrigger."""
+    reader = spark.readStream.format(source).options(**options)
+    return (reader.schema(schema) if schema else reader).load()
+
+
+def sent(stream: DataFrame, sink: str, checkpoint: str, **options: object):
+    """Start sending a stream to any sink Spark has, to the end of what is there."""
+    return stream.writeStream.format(sink).options(**options).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def joined_streams(left: DataFrame, right: DataFrame, seconds: int = 60, delay: str = "2 minutes") -> DataFrame:
     """(sender, sequence, first_at, second_at): rows of two streams with (sender, sequence, at) of one identifier at most `seconds` apart.
 

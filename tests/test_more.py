@@ -102,3 +102,47 @@ def test_staged_tables_can_be_deleted(spark):
     assert clean(spark) >= 1 and clean(spark) == 0
     with pytest.raises(Exception, match="(?i)not.?exist|path"):
         kept.collect()
+
+
+def test_aggregators_of_ones_own_and_emitters(spark):
+    from fedlens.operators import vectors as V
+    from fedlens.sources import store
+
+    V.register_aggregator("first", lambda df, r, s, v: V.long_form(df, r, s, v).groupBy("round", "i").agg(F.min_by("value", "sender").alias("value")), 0.1)
+    try:
+        df = spark.createDataFrame([(1, 2, [5.0, 6.0]), (1, 1, [7.0, 8.0])], "r long, s long, v array<float>")
+        assert V.pipeline(df, "r", "s", "v", "first").first()["vec"] == [7.0, 8.0]
+        for bad in (("first", 0.1), ("", 0.1), ("new", 0.9)):
+            with pytest.raises(ValueError):
+                V.register_aggregator(bad[0], V.fedavg, bad[1])
+    finally:
+        del V.AGGREGATORS["first"]
+
+    class Kept(store.Emitter):
+        def __init__(self):
+            self.got = []
+
+        def emit(self, log, rows):
+            self.got.append((log, len(rows)))
+
+    kept = Kept()
+    kept.spans([{}])
+    kept.metrics([{}, {}])
+    assert kept.got == [("spans.ndjson", 1), ("metrics.ndjson", 2)]
+
+
+def test_unknown_ends_of_edges(spark):
+    nodes = spark.createDataFrame([("A ",), ("b",), (None,)], "node_id string")
+    edges = spark.createDataFrame([(1, "a", "b"), (1, "a", "b"), (2, " B", "c"), (3, None, " ")], "edge_no long, from_node_id string, to_node_id string")
+    assert sorted(map(tuple, graph.unknown_ends(nodes, edges).collect()), key=repr) == [(2, "to", "c"), (3, "from", None), (3, "to", None)]
+
+
+def test_streams_from_and_to_any_place(spark, tmp_path):
+    from fedlens.streaming import messages as live
+
+    stream = live.received(spark, "rate-micro-batch", rowsPerBatch=20, numPartitions=2)
+    assert stream.isStreaming and stream.columns == ["timestamp", "value"]
+    spark.range(30).write.parquet(str(tmp_path / "in"))
+    files = live.received(spark, "parquet", "id long", path=str(tmp_path / "in"))
+    live.sent(files, "parquet", str(tmp_path / "state"), path=str(tmp_path / "out")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 30
