@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,6 +273,52 @@ def test_levels_and_closure(spark):
     assert closure.closure(chain.limit(0), "s", "t").count() == 0
 
 
+def test_ancestors_are_counted_without_a_row_per_pair(spark, tmp_path, monkeypatch):
+    from fedlens import common
+    from fedlens.plans import catalogue
+
+    n = 1_000
+    chain = [(f"{i:04}", f" {i + 1:04} ".upper(), "x") for i in range(n)] * 2 + [("0007", None, "x"), (" ", "0007", "x")]
+    spark.createDataFrame(chain, "input_fingerprint_v0 string, output_fingerprint_v0 string, node_id string").write.parquet(f"{tmp_path}/lineage.parquet")
+    paths = []
+    monkeypatch.setattr(common, "_STAGED", paths)
+    got = dict(map(tuple, catalogue.ext_lineage_closure(spark, str(tmp_path)).collect()))
+    assert got == {f"{i:04}": i for i in range(1, n + 1)}
+    assert sum(spark.read.parquet(x).count() for x in paths) <= 10 * n  # the chain has 500,500 pairs
+    common.clean(spark)
+
+
+def test_ancestor_counts_with_loops_in_blocks_and_components(spark):
+    import random
+
+    draw = random.Random(5)
+    links = [(g * 100 + draw.randrange(12), g * 100 + draw.randrange(12)) for g in range(6) for _ in range(4 + 3 * g)]
+    links += [(700, 700), (701, 701), (701, 702)] + [(800 + i, 801 + i) for i in range(15)] + [(810, 805), (812, 803)]
+    edges = spark.createDataFrame([*links, *links[:9], (None, 3), (3, None)], "s long, t long")
+    after = {}
+    for a, b in links:
+        after.setdefault(a, set()).add(b)
+    want = {}
+    for a in after:
+        found, ahead = set(), [*after[a]]
+        while ahead:
+            b = ahead.pop()
+            if b not in found:
+                found.add(b)
+                ahead += after.get(b, ())
+        for b in found:
+            want[b] = want.get(b, 0) + 1
+    source, target = (np.array(x, dtype=np.int64) for x in zip(*sorted(set(links))))
+    order = closure.ordered(source, target)
+    for bits in (1, 3, 7, 64):  # blocks that end within loops
+        total = closure.counted(order, range(-(-int(order.bit[-1]) // bits)), bits)[order.part]
+        assert {int(i): int(x) for i, x in zip(order.ids, total) if x} == want
+    for most in (closure.MOST, 16, 0):  # all at once; components in tasks and, above 16 edges, by pairs; all by pairs
+        assert dict(map(tuple, closure.ancestor_counts(edges, "s", "t", most=most, held=1).collect())) == want
+    for most in (closure.MOST, -1):
+        assert closure.ancestor_counts(edges.limit(0), "s", "t", most=most).count() == 0
+
+
 def test_formats_round_trip(spark, tmp_path):
     df = numbers(spark)
     for fmt in ("parquet", "orc", "json", "csv"):
